@@ -12,6 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hierarchical Pitman-Yor scores of all documents; learns from those not held out."""
+    from tidewater.llm import pitman_yor as lm
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
+    model = lm.fit(docs.where("not held_out"))
+    return lm.score(docs, model, ["doc_id", "held_out"]).withColumn("train_tokens", F.lit(model.n).cast("long"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents, links at up to 4 differing bits."""
     from tidewater.llm.simhash import near_duplicates
@@ -21,7 +31,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash,)}
+    return {f.__name__: f for f in (op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
