@@ -12,6 +12,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    from tidewater.llm import language
+
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.fit(docs.select("doc_id", "text", "lang").where(~held))
+    found = language.identify(docs.select("doc_id", "text", held.alias("held_out")), model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical Pitman-Yor scores of all documents; learns from those not held out."""
     from tidewater.llm import pitman_yor as lm
@@ -31,7 +42,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
