@@ -23,6 +23,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of at most 2048 tokens."""
+    from tidewater.llm.packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), capacity=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical Pitman-Yor scores of all documents; learns from those not held out."""
     from tidewater.llm import pitman_yor as lm
@@ -42,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
