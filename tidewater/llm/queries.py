@@ -31,6 +31,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a motion-JPEG file: stored, read back, and cut into clips."""
+    from tidewater.llm import media
+
+    files = media.write_avi(_table(spark, sf_dir, "documents"))
+    read = media.read_avi(files, ["doc_id", "n_bytes"])
+    clip = F.transform("clips", lambda c: F.format_string("%d-%d:%.3f", c["start_ms"], c["end_ms"], c["level"]))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.format_string("frames=%d", F.aggregate("clips", F.lit(0), lambda a, c: a + c["frames"])), F.concat_ws(",", clip)).alias("feature"),
+    )
+
+
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical Pitman-Yor scores of all documents; learns from those not held out."""
     from tidewater.llm import pitman_yor as lm
@@ -50,7 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
