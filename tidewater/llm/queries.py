@@ -50,6 +50,23 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, normalised to a member per record, and read back."""
+    from tidewater.llm import warc
+
+    folder, files = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    read = warc.read_archives(files.repartition(max(1, min(files.count(), 4096))), folder)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id is divisible by 50."""
+    from tidewater.llm import topk
+
+    vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings"), scale=256)
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical Pitman-Yor scores of all documents; learns from those not held out."""
     from tidewater.llm import pitman_yor as lm
@@ -69,8 +86,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op6_warc, op8_topk, op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_warc": """
+            WITH p AS (
+                SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+                       sha1(coalesce(html, '')) AS payload_digest
+                FROM pages
+            ), m AS (
+                SELECT *, max(page_id) OVER (PARTITION BY html) AS chosen FROM p
+            )
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN chosen END AS refers_to
+            FROM m""",
+        "op8_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+            )
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+            FROM s QUALIFY rank <= 5""",
+    }
