@@ -50,6 +50,15 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from tidewater.llm import extract
+
+    pages = _table(spark, sf_dir, "pages")
+    found = extract.extract(pages, extract.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives, normalised to a member per record, and read back."""
     from tidewater.llm import warc
@@ -86,7 +95,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op6_warc, op8_topk, op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op6_warc, op8_topk, op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
