@@ -68,6 +68,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mixture whose source weights go as the square root of their sizes."""
+    from tidewater.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), alpha=0.5)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors of every vector whose id is divisible by 50."""
     from tidewater.llm import topk
@@ -95,7 +102,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op6_warc, op8_topk, op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
