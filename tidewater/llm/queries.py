@@ -59,6 +59,13 @@ def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of all conversations with its repaired role and its piece of the rendering."""
+    from tidewater.llm import chat
+
+    return chat.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives, normalised to a member per record, and read back."""
     from tidewater.llm import warc
@@ -102,7 +109,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op5_chat, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
