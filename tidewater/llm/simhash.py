@@ -18,6 +18,13 @@ Linking at ``<= 4`` differing bits, exactly:
 
 Components of the links come from alternating large-star and small-star steps.
 
+With ``prints=2`` a second, independent fingerprint of the same shingles goes with the first, the
+keys are taken from either in turn, and the differing bits of both are counted.  The share of
+differing bits is arccos(c) / pi for shingle sets of cosine c, so 20 of 128 bits stand for a Jaccard
+similarity of about 0.8 (cosine 0.89); pairs that are that similar then share a key with a
+probability that falls from near 1 (copies) to about one half (0.8).  ``SIMILAR`` holds these
+parameters; the exact guarantee above is for ``prints=1``.
+
 Nulls, empty texts: no word, fingerprint zero, linked like any other.  Rows with equal ``doc_id``
 or equal text keep their own rows; a null ``doc_id`` never names a component unless no other id
 is in it (then ``component_id`` is null).  Other input columns are ignored.  An empty table gives
@@ -38,6 +45,7 @@ from tidewater.llm.shared import settled, slices, utf8
 
 BITS = 4
 BLOCK = 4096
+SIMILAR = {"shingle": 5, "prints": 2, "bits": 20}
 _NEAR = 64  # groups up to this many members are compared by shifting the sorted run
 
 # ---------------------------------------------------------------- fingerprints
@@ -50,9 +58,18 @@ def _majority(hashes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.nd
     return np.packbits(2 * ones > count[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """Fingerprints (uint64) of UTF-8 texts."""
-    out = np.zeros(len(texts), np.uint64)
+def _remix(hashes: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes of the same shingles."""
+    h = hashes ^ (hashes >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints_of(texts: list[bytes], shingle: int = 4, seed: int = 42, prints: int = 1) -> np.ndarray:
+    """(texts, prints) fingerprints as uint64, of UTF-8 texts."""
+    out = np.zeros((len(texts), prints), np.uint64)
     digest = xxhash.xxh64_intdigest
     for lo, hi in slices(texts, 1 << 20):
         found, rows, counts = [], [], []
@@ -71,20 +88,37 @@ def fingerprints_of(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.
                 counts.append(len(starts) - shingle + 1)
             rows.append(i)
         if rows:
-            count = np.array(counts)
-            out[rows] = _majority(np.array(found, np.uint64), np.cumsum(count) - count, count)
+            count, hashes = np.array(counts), np.array(found, np.uint64)
+            for k in range(prints):
+                out[rows, k] = _majority(hashes, np.cumsum(count) - count, count)
+                hashes = _remix(hashes)
     return out
 
 
-def fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long), one row per input row, no shuffle."""
+def _node(prints: np.ndarray) -> np.ndarray:
+    """What names a (set of) fingerprint(s): itself, or a hash of both."""
+    if prints.shape[1] == 1:
+        return prints[:, 0].copy()
+    return _remix(prints[:, 0] ^ (_remix(prints[:, 1]) * np.uint64(3)))
+
+
+def _columns(prints: int) -> list[str]:
+    return [f"f{k}" for k in range(prints)]
+
+
+def fingerprint(docs: DataFrame, shingle: int = 4, prints: int = 1, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns, ``f0`` .. (64 bits as signed longs) and ``node``; no shuffle."""
+    kept = docs.select(*carry, F.col("text").cast("string").alias("text"))
+    names = [*carry, *_columns(prints), "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(utf8(b.column(1)), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            found = fingerprints_of(utf8(b.column(b.num_columns - 1)), shingle, prints=prints)
+            made = [*found.T, _node(found)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in made]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"{c} long" for c in names[len(carry) :]]
+    return kept.mapInArrow(run, ", ".join(schema))
 
 
 # ---------------------------------------------------------------- the code
@@ -163,6 +197,11 @@ def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
             label = label[label]
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of fingerprints."""
+    return np.bitwise_count(a ^ b).sum(axis=1)
+
+
 def _flood(fp: np.ndarray, bits: int) -> np.ndarray:
     """As _forest, for one group in which any two members may be linked: each member is expanded
     once, against those not yet reached."""
@@ -173,7 +212,7 @@ def _flood(fp: np.ndarray, bits: int) -> np.ndarray:
         label[root] = root
         front = [root]
         while front and len(todo):
-            near = np.bitwise_count(fp[todo] ^ fp[front.pop()]) <= bits
+            near = _apart(fp[todo], fp[front.pop()]) <= bits
             hit = todo[near]
             label[hit] = root
             front.extend(hit.tolist())
@@ -195,7 +234,7 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
     live = np.flatnonzero(small & (last - np.arange(n) > 1))
     lag = 1
     while len(live):
-        near = np.bitwise_count(fp[live] ^ fp[live + lag]) <= bits
+        near = _apart(fp[live], fp[live + lag]) <= bits
         left.append(live[near])
         right.append(live[near] + lag)
         lag += 1
@@ -206,30 +245,34 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def _link_groups(bits: int, block: int):
-    """Over batches sorted by key: forest edges (kind 0: fp, root) of groups up to ``block``
-    members; larger groups are passed on (kind 1: fp, key)."""
+def _link_groups(bits: int, block: int, prints: int):
+    """Over batches (key, fingerprints) sorted by key: forest edges (kind 0: a linked to b) of groups
+    up to ``block`` members; larger groups are passed on (kind 1: a the key, then fingerprints)."""
+    names = ["kind", "a", "b", *_columns(prints)]
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, fp: np.ndarray | None) -> pa.RecordBatch:
+        parts = [pa.nulls(len(a), pa.int64())] * prints if fp is None else [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fp.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *parts], names)
 
     def solve(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        root = _links(key, fp.view(np.uint64), bits)
+        root = _links(key, fp, bits)
         moved = np.flatnonzero(root != np.arange(len(root)))
         if len(moved):
-            edges = np.unique(np.stack([fp[moved], fp[root[moved]]], 1), axis=0)
-            yield rows(0, np.ascontiguousarray(edges[:, 0]), np.ascontiguousarray(edges[:, 1]))
+            edges = np.stack([_node(fp[moved]).view(np.int64), _node(fp[root[moved]]).view(np.int64)], 1)
+            edges = np.unique(edges, axis=0)
+            yield rows(0, np.ascontiguousarray(edges[:, 0]), np.ascontiguousarray(edges[:, 1]), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held_key, held_fp = np.empty(0, np.int64), np.empty((0, prints), np.uint64)
         passing = None
         for b in batches:
+            new = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(prints)], 1)
             key = np.concatenate([held_key, b.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([held_fp, b.column(1).to_numpy(zero_copy_only=False)])
+            fp = np.concatenate([held_fp, new])
             if passing is not None:
                 n = int(np.searchsorted(key, passing, "right"))
                 if n:
-                    yield rows(1, fp[:n], key[:n])
+                    yield rows(1, key[:n], key[:n], fp[:n])
                 key, fp = key[n:], fp[n:]
                 if not len(key):
                     held_key, held_fp = key, fp
@@ -240,39 +283,41 @@ def _link_groups(bits: int, block: int):
             held_key, held_fp = key[cut:], fp[cut:]
             if len(held_key) > block:
                 passing = held_key[0]
-                yield rows(1, held_fp, held_key)
+                yield rows(1, held_key, held_key, held_fp)
                 held_key, held_fp = held_key[:0], held_fp[:0]
         if len(held_key):
             yield from solve(held_key, held_fp)
 
-    return run
+    return run, "kind byte, a long, b long, " + ", ".join(f"{c} long" for c in _columns(prints))
 
 
-def link_fingerprints(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """Edges ``a, b`` (longs, b < a or not, never equal) whose components are those of all links
-    between the distinct values of ``fps.fp``."""
-    if bits > 4:
+def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_by: int = 0, block: int = BLOCK) -> DataFrame:
+    """Edges ``a, b`` between nodes whose components are those of all links that the keys of
+    fingerprint ``keyed_by`` find in ``fps`` (f0, ..), which with one print are all links."""
+    if prints == 1 and bits > 4:
         raise ValueError("the keys find links of up to 4 differing bits")
+    columns = _columns(prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(0).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(values), 2048):
-                fp = np.ascontiguousarray(values[lo : lo + 2048])
-                at, key = keys_of(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at])], ["key", "fp"])
-
-    keyed = fps.select("fp").mapInArrow(run, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    found = settled(keyed.mapInArrow(_link_groups(bits, block), "kind byte, a long, b long"), "simhash-links")
+            values = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            for lo in range(0, b.num_rows, 2048):
+                at, key = keys_of(np.ascontiguousarray(values[keyed_by][lo : lo + 2048]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(v[lo : lo + 2048][at]) for v in values]], ["key", *columns])
+
+    group, schema = _link_groups(bits, block, prints)
+    keys = fps.select(*columns).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in columns))
+    found = settled(keys.repartition("key").sortWithinPartitions("key").mapInArrow(group, schema), "simhash-links")
     edges = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("fp"))
+    large = found.where("kind = 1").select(F.col("a").alias("key"), *columns)
     sizes = large.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / (block // 4)).cast("int"))
-    dealt = large.join(sizes.drop("count"), "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = large.join(sizes.drop("count"), "key").withColumn("i", F.pmod(F.xxhash64(*columns), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp"
+        F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *columns
     )
     # two blocks hold about block / 2 members; a limit that no hash-dealt pair meets keeps them whole
-    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_link_groups(bits, 1 << 62), "kind byte, a long, b long")
+    whole, schema = _link_groups(bits, 1 << 62, prints)
+    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(whole, schema)
     return edges.unionByName(more.select("a", "b")).distinct()
 
 
@@ -306,15 +351,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def classes(docs: DataFrame, shingle: int = 4, bits: int = BITS, prints: int = 1, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns, ``fp`` and ``root`` (which names the row's component), one row per
+    input row."""
+    rows = settled(fingerprint(docs, shingle, prints, carry), "simhash-fp")
+    fps = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in _columns(prints)])
+    edges = [link_fingerprints(fps, bits, prints, k) for k in range(prints)]
+    roots = components(edges[0] if prints == 1 else edges[0].unionByName(edges[1]))
+    named = rows.join(roots, "node", "left")
+    return named.select(*carry, F.col("f0").alias("fp"), F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = BITS) -> DataFrame:
     """``doc_id, fp, component_id``, one row per input row; component_id is the smallest doc_id
     reachable over links of at most ``bits`` differing bits."""
-    prints = settled(fingerprint(docs, shingle), "simhash-fp")
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(link_fingerprints(fps, bits))
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    member = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = member.groupBy("root").agg(F.min("least_id").alias("joined_id"))
-    named = member.join(least, "root").select("fp", "joined_id")
-    classes = fps.join(named, "fp", "left").select("fp", F.coalesce("joined_id", "least_id").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = settled(classes(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shingle, bits), "simhash-classes")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "root").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], bits: int = SIMILAR["bits"], prints: int = SIMILAR["prints"]) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of the smallest
+    doc_id stays (nulls last; then the smallest hash of the row), whole and once."""
+    names = docs.columns
+    marked = docs.withColumn("__row", F.xxhash64(*names))
+    found = classes(marked, shingle, bits, prints, ("doc_id", "__row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("k")
+    kept = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.__row").alias("__kept"))
+    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__row"] == kept["__kept"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*names)
