@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,14 @@ def near_pairs(candidates: DataFrame, values: DataFrame, max_distance: int = MAX
     # each value offers, for every candidate length within d and each cut, its text at the shifted places
     m = F.length("__v")
     right = right.withColumn("clen", F.explode(F.sequence(F.greatest(m - d, F.lit(1)), m + d)))
-    cuts = F.flatten(F.array(*[F.transform(F.sequence(F.lit(-d), F.lit(d)), lambda s, k=k: F.struct(F.lit(k).alias("k"), (F.floor(F.col("clen") * k / (d + 1)) + s).cast("int").alias("at"), (F.floor(F.col("clen") * (k + 1) / (d + 1)) - F.floor(F.col("clen") * k / (d + 1))).cast("int").alias("len"))) for k in range(d + 1)]))
+    total = F.col("clen")
+
+    def shifted(k: int) -> Column:
+        at, size = F.floor(total * k / (d + 1)), F.floor(total * (k + 1) / (d + 1)) - F.floor(total * k / (d + 1))
+        moves = F.sequence(F.lit(-d), F.lit(d))
+        return F.transform(moves, lambda s: F.struct(F.lit(k).alias("k"), (at + s).cast("int").alias("at"), size.cast("int").alias("len")))
+
+    cuts = F.flatten(F.array(*[shifted(k) for k in range(d + 1)]))
     right = right.withColumn("p", F.explode(F.filter(cuts, lambda x: (x["at"] >= 0) & (x["at"] + x["len"] <= m))))
     right = right.select("value", "__v", "clen", F.col("p.k").alias("k"), F.expr("substring(__v, p.at + 1, p.len)").alias("piece"), m.alias("vlen")).distinct()
     pairs = left.join(right, ["clen", "vlen", "k", "piece"]).select("candidate", "value", "__c", "__v").distinct()
