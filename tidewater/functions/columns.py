@@ -241,16 +241,18 @@ def anchor_phrases(c: Column, anchors: list[str], stop: list[str], most: int = 3
     """Growing prefixes (up to ``most`` words) after each anchor phrase; a stop word or a word with
     digits ends them; distinct, in order."""
     words = F.split(fold_words(c), " ")
+    none = F.array().cast("array<string>")
 
-    def after(anchor: str) -> Column:
-        parts = anchor.split(" ")
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts) - 1, F.lit(0))), lambda i: reduce(lambda a, b: a & b, [F.get(words, (i + k).cast("int")) == p for k, p in enumerate(parts)]))
-
-        def phrases(i: Column) -> Column:
-            here = [F.get(words, (i + len(parts) + k).cast("int")) for k in range(most)]
-            good = [h.isNotNull() & ~h.isin(*stop) & ~h.rlike("[0-9]") & (h != "") for h in here]
-            return F.filter(F.array(*[F.when(reduce(lambda a, b: a & b, good[: k + 1]), F.concat_ws(" ", *here[: k + 1])) for k in range(most)]), lambda x: x.isNotNull())
+    def word(i: Column, k: int) -> Column:
+        return F.get(words, (i + k).cast("int"))
 
-        return F.flatten(F.transform(starts, phrases))
-
-    return F.array_distinct(F.concat(*[after(a) for a in anchors]))
+    def phrases(i: Column, anchor: str) -> Column:
+        parts = anchor.split(" ")
+        met = reduce(lambda a, b: a & b, [F.coalesce(word(i, k) == p, F.lit(False)) for k, p in enumerate(parts)])
+        here = [word(i, len(parts) + k) for k in range(most)]
+        good = [h.isNotNull() & ~h.isin(*stop) & ~h.rlike("^[0-9]+$") & (h != "") for h in here]
+        grown = F.array(*[F.when(reduce(lambda a, b: a & b, good[: k + 1]), F.concat_ws(" ", *here[: k + 1])) for k in range(most)])
+        return F.when(met, F.filter(grown, lambda x: x.isNotNull())).otherwise(none)
+
+    places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(places, lambda i: F.concat(*[phrases(i, a) for a in anchors]))))
