@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import Spans, slices, utf8
+from tidewater.llm.shared import Spans, parts, slices, utf8
 
 UND = "und"
 MAX_LANGUAGES = 64
@@ -77,7 +77,7 @@ class _Features:
         edges[s.end] -= 1
         outside = np.cumsum(edges[:-1]) == 0
         data = np.where(outside, 32, data).astype(np.uint32)
-        before = [np.concatenate((np.full(k, 32, np.uint32), data[: len(data) - k])) for k in (1, 2, 3)]
+        before = [np.concatenate((np.full(k, 32, np.uint32), data))[: len(data)] for k in (1, 2, 3)]
         three = before[1] << 16 | before[0] << 8 | data
         inner = (before[0] != 32) & (three != 0)
         mix = np.uint32(0x9E3779B1)
@@ -112,7 +112,7 @@ def fit(rows: DataFrame, sample_per_language: int = 3000) -> LanguageModel:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             texts, lang = utf8(b.column(1)), b.column(0).to_pylist()
             for lo, hi in slices(texts):
                 f = _Features(texts[lo:hi])
@@ -272,7 +272,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             lang, score, spans = label_texts(utf8(b.column(b.num_columns - 1)), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind)], [*names, *made])
 

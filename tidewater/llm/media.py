@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import utf8
+from tidewater.llm.shared import parts, utf8
 
 UNIT = 192  # samples: 24 x 8 blocks
 FRAME_UNITS = 16
@@ -367,11 +367,9 @@ def write_avi(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media`` of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole, 256)):
             texts = utf8(b.column(1))
-            for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array([len(t) for t in part], pa.int64()), pa.array([avi_of(t) for t in part], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([avi_of(t) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 

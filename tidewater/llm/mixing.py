@@ -117,21 +117,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     numbered = keyed.withColumn("__n", F.row_number().over(within)).join(bases, ["__src", "__shard"])
     numbered = numbered.withColumn("__n", F.col("__base") + F.col("__n") - 1).withColumn("mix_block", F.floor(F.col("__n") / block))
 
-    last = F.col("first_block") + F.col("quota") * F.col("repeats")
+    plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns if c != "phase"])  # no name of the input meets one used here
+    last = F.col("__p_first_block") + F.col("__p_quota") * F.col("__p_repeats")
     if len(plan_rows) * 64 + sum(r["quota"] for r in plan_rows) * 8 <= BROADCAST_BYTES:
-        here = (F.col("__src") == F.col("src")) & (F.col("mix_block") >= F.col("first_block")) & (F.col("mix_block") < last)
+        here = (F.col("__src") == F.col("__p_src")) & (F.col("mix_block") >= F.col("__p_first_block")) & (F.col("mix_block") < last)
         joined = numbered.join(F.broadcast(plan), here)
     else:
-        each = plan.withColumn("k", F.explode(F.sequence(F.col("first_block"), last - 1))).withColumn("slots", F.array(F.get("slots", ((F.col("k") - F.col("first_block")) % F.col("quota")).cast("int"))))
-        joined = numbered.join(each, (F.col("__src") == F.col("src")) & (F.col("mix_block") == F.col("k")))
-    j = F.col("mix_block") - F.col("first_block")
-    at = F.when(F.size("slots") == 1, F.get("slots", F.lit(0))).otherwise(F.get("slots", (j % F.col("quota")).cast("int")))
-    slot = F.col("first_slot") + F.floor(j / F.col("quota")) * F.col("period") + at
+        each = plan.withColumn("__p_k", F.explode(F.sequence(F.col("__p_first_block"), last - 1))).withColumn("__p_slots", F.array(F.get("__p_slots", ((F.col("__p_k") - F.col("__p_first_block")) % F.col("__p_quota")).cast("int"))))
+        joined = numbered.join(each, (F.col("__src") == F.col("__p_src")) & (F.col("mix_block") == F.col("__p_k")))
+    j = F.col("mix_block") - F.col("__p_first_block")
+    at = F.when(F.size("__p_slots") == 1, F.get("__p_slots", F.lit(0))).otherwise(F.get("__p_slots", (j % F.col("__p_quota")).cast("int")))
+    slot = F.col("__p_first_slot") + F.floor(j / F.col("__p_quota")) * F.col("__p_period") + at
     return joined.select(
         *names,
         F.col("mix_block").cast("long").alias("mix_block"),
         slot.cast("long").alias("mix_slot"),
-        (F.col("first_slot") + F.floor(j * F.col("period") / F.col("quota"))).cast("long").alias("mix_release"),
-        (F.col("first_slot") + F.ceil((j + 1) * F.col("period") / F.col("quota"))).cast("long").alias("mix_deadline"),
+        (F.col("__p_first_slot") + F.floor(j * F.col("__p_period") / F.col("__p_quota"))).cast("long").alias("mix_release"),
+        (F.col("__p_first_slot") + F.ceil((j + 1) * F.col("__p_period") / F.col("__p_quota"))).cast("long").alias("mix_deadline"),
         (slot * block + F.col("__n") % block).cast("long").alias("mix_position"),
     )

@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import slices, span_hash, utf8
+from tidewater.llm.shared import parts, slices, span_hash, utf8
 
 END_ID = 1
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_KEPT_CUTS = 400_000
+_KEPT_CUTS = 150_000
 
 
 class Encoder:
@@ -89,14 +89,14 @@ class Encoder:
         if len(self.known) > _KEPT_CUTS:
             self.known.clear()
         known, encode = self.known, self.encode
-        parts = []
+        ids_of = []
         for h, s, e in zip(unique.tolist(), a, b, strict=True):
             ids = known.get(h)
             if ids is None:
                 ids = known[h] = encode(raw[s:e].decode())
-            parts.append(ids)
-        size = np.array([len(p) for p in parts])
-        pool = np.array([x for p in parts for x in p], np.uint32)
+            ids_of.append(ids)
+        size = np.array([len(p) for p in ids_of])
+        pool = np.array([x for p in ids_of for x in p], np.uint32)
         at = np.cumsum(size) - size
         each = size[code]
         total = np.cumsum(each)
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
             rows.clear()
             return out
 
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             keys, texts = b.column(0).to_pylist(), utf8(b.column(1))
             for lo, hi in slices(texts):
                 for key, ids in zip(keys[lo:hi], encoder.ids(texts[lo:hi]), strict=True):
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
                     held_tokens += rest
                     if held_tokens >= windows * capacity:
                         close()
-                    if len(rows) >= 4096:
+                    if len(rows) >= 1024:
                         yield ready()
         close()
         if rows:

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+PART_ROWS = 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -43,6 +44,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(batch: pa.RecordBatch, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that Python holds the texts of a few hundred rows at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``limit`` bytes each; one long text is a range of its own."""
     begin = size = 0
@@ -77,7 +84,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + (1 << 16))
+        n = max(SLICE_BYTES + (1 << 16), n + n // 4)
         for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
             step = np.full(n, base, np.uint64)
             step[0] = 1

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import settled, slices, utf8
+from tidewater.llm.shared import parts, settled, slices, utf8
 
 BITS = 4
 BLOCK = 4096
@@ -112,7 +112,7 @@ def fingerprint(docs: DataFrame, shingle: int = 4, prints: int = 1, carry: tuple
     names = [*carry, *_columns(prints), "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             found = fingerprints_of(utf8(b.column(b.num_columns - 1)), shingle, prints=prints)
             made = [*found.T, _node(found)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in made]], names)
@@ -167,8 +167,8 @@ def codeword_indices(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (position of the fingerprint, key) of an array of uint64 fingerprints."""
     fp = fp.view(np.uint64)
-    parts = [(fp >> np.uint64(41)).astype(np.int64), (fp >> np.uint64(18) & np.uint64(0x7FFFFF)).astype(np.int64), (fp & np.uint64(0x3FFFF)).astype(np.int64)]
-    coded = [codeword_indices(p) for p in parts]
+    cuts = [(fp >> np.uint64(41)).astype(np.int64), (fp >> np.uint64(18) & np.uint64(0x7FFFFF)).astype(np.int64), (fp & np.uint64(0x3FFFF)).astype(np.int64)]
+    coded = [codeword_indices(p) for p in cuts]
     at, key = [], []
     for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
         (ia, na), (ib, nb) = coded[a], coded[b]
@@ -251,8 +251,8 @@ def _link_groups(bits: int, block: int, prints: int):
     names = ["kind", "a", "b", *_columns(prints)]
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, fp: np.ndarray | None) -> pa.RecordBatch:
-        parts = [pa.nulls(len(a), pa.int64())] * prints if fp is None else [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fp.T]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *parts], names)
+        held = [pa.nulls(len(a), pa.int64())] * prints if fp is None else [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fp.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *held], names)
 
     def solve(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         root = _links(key, fp, bits)
