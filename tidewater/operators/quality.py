@@ -41,8 +41,8 @@ def key_contract(df: DataFrame, key: str, table: str) -> DataFrame:
 
 
 def equal_counts(left: DataFrame, right: DataFrame, name: str, table: str) -> DataFrame:
-    n = left.agg(F.count(F.lit(1)).alias("l")).crossJoin(right.agg(F.count(F.lit(1)).alias("r")))  # one row each
-    return n.select(F.lit(name).alias("check_name"), F.lit(table).alias("table_name"), F.abs(F.col("l") - F.col("r")).alias("n_violations"))
+    sides = left.select(F.lit(1).alias("d")).unionByName(right.select(F.lit(-1).alias("d")))
+    return sides.agg(F.coalesce(F.abs(F.sum("d")), F.lit(0)).cast("bigint").alias("n")).select(F.lit(name).alias("check_name"), F.lit(table).alias("table_name"), F.col("n").alias("n_violations"))
 
 
 def fact_contract(events: DataFrame, sales: DataFrame) -> DataFrame:
