@@ -16,7 +16,7 @@ Linking at ``<= 4`` differing bits, exactly:
   where they are found, so one key gives fewer rows than it has members.  Keys with more than
   ``BLOCK`` members are dealt anew as pairs of blocks, which loses no pair.
 
-Components of the links come from alternating large-star and small-star steps.
+Components of the links come from contracting every node into its smallest smaller neighbour.
 
 With ``prints=2`` a second, independent fingerprint of the same shingles goes with the first, the
 keys are taken from either in turn, and the differing bits of both are counted.  The share of
@@ -307,7 +307,7 @@ def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_b
 
     group, schema = _link_groups(bits, block, prints)
     keys = fps.select(*columns).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in columns))
-    found = settled(keys.repartition("key").sortWithinPartitions("key").mapInArrow(group, schema), "simhash-links")
+    found = settled(keys.repartition("key").sortWithinPartitions("key", *columns).mapInArrow(group, schema), "simhash-links")
     edges = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select(F.col("a").alias("key"), *columns)
     sizes = large.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / (block // 4)).cast("int"))
@@ -317,7 +317,7 @@ def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_b
     )
     # two blocks hold about block / 2 members; a limit that no hash-dealt pair meets keeps them whole
     whole, schema = _link_groups(bits, 1 << 62, prints)
-    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(whole, schema)
+    more = pairs.repartition("key").sortWithinPartitions("key", *columns).mapInArrow(whole, schema)
     return edges.unionByName(more.select("a", "b")).distinct()
 
 
@@ -326,28 +326,37 @@ def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_b
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b) that is not itself the smallest node of
-    its component; root is the smallest."""
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    def star(both: DataFrame) -> DataFrame:
-        return both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a")
-
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = settled(edges, "components")
-    before = state(edges)
+    its component; root is the smallest.
+
+    Each round points every node at its smallest smaller neighbour, follows the pointers to their
+    ends, and rewrites the edges between the ends; only nodes without a smaller neighbour are left.
+    """
+
+    def ends(parent: DataFrame) -> DataFrame:
+        for _ in range(max_rounds):
+            above = parent.select(F.col("node").alias("root"), F.col("root").alias("__next"))
+            step = parent.join(above, "root", "left")
+            parent = settled(step.select("node", F.coalesce("__next", "root").alias("root"), F.col("__next").isNotNull().alias("moved")), "components")
+            if parent.where("moved").isEmpty():
+                return parent.select("node", "root")
+        raise RuntimeError("pointers did not end")
+
+    def downward(df: DataFrame) -> DataFrame:
+        return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    edges = settled(downward(edges), "components")
+    found = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
-        large = large.where("a <> b").distinct()
-        near = star(large)
-        small = near.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = settled(small.select("e.*").where("a <> b").distinct(), "components")
-        after = state(edges)
-        if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = after
+        if edges.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
+        to = ends(settled(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "components"))
+        one = edges.join(to.select(F.col("node").alias("a"), F.col("root").alias("pa")), "a")
+        two = one.join(to.select(F.col("node").alias("b"), F.col("root").alias("pb")), "b", "left")
+        edges = settled(downward(two.select(F.col("pa").alias("a"), F.coalesce("pb", "b").alias("b"))), "components")
+        if found is not None:
+            further = found.join(to.select(F.col("node").alias("root"), F.col("root").alias("__next")), "root", "left")
+            to = further.select("node", F.coalesce("__next", "root").alias("root")).unionByName(to)
+        found = settled(to, "components")
     raise RuntimeError("components did not settle")
 
 
