@@ -245,28 +245,31 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def _link_groups(bits: int, block: int, prints: int):
-    """Over batches (key, fingerprints) sorted by key: forest edges (kind 0: a linked to b) of groups
-    up to ``block`` members; larger groups are passed on (kind 1: a the key, then fingerprints)."""
-    names = ["kind", "a", "b", *_columns(prints)]
+def _link_groups(bits: int, block: int, prints: int, named: bool):
+    """Over batches (key, fingerprints, and names if ``named``) sorted by key: forest edges (kind 0: a
+    linked to b, by name) of groups up to ``block`` members; larger groups are passed on (kind 1: a
+    the key, then the columns)."""
+    columns = _columns(prints) + ["name"] * named
+    names = ["kind", "a", "b", *columns]
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, fp: np.ndarray | None) -> pa.RecordBatch:
-        held = [pa.nulls(len(a), pa.int64())] * prints if fp is None else [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fp.T]
+        held = [pa.nulls(len(a), pa.int64())] * len(columns) if fp is None else [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fp.T]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *held], names)
 
     def solve(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        root = _links(key, fp, bits)
+        root = _links(key, fp[:, :prints], bits)
         moved = np.flatnonzero(root != np.arange(len(root)))
         if len(moved):
-            edges = np.stack([_node(fp[moved]).view(np.int64), _node(fp[root[moved]]).view(np.int64)], 1)
-            edges = np.unique(edges, axis=0)
+            name = fp[:, prints] if named else _node(fp)
+            edges = np.stack([name[moved], name[root[moved]]], 1).view(np.int64)
+            edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
             yield rows(0, np.ascontiguousarray(edges[:, 0]), np.ascontiguousarray(edges[:, 1]), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty(0, np.int64), np.empty((0, prints), np.uint64)
+        held_key, held_fp = np.empty(0, np.int64), np.empty((0, len(columns)), np.uint64)
         passing = None
         for b in batches:
-            new = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(prints)], 1)
+            new = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(len(columns))], 1)
             key = np.concatenate([held_key, b.column(0).to_numpy(zero_copy_only=False)])
             fp = np.concatenate([held_fp, new])
             if passing is not None:
@@ -288,15 +291,16 @@ def _link_groups(bits: int, block: int, prints: int):
         if len(held_key):
             yield from solve(held_key, held_fp)
 
-    return run, "kind byte, a long, b long, " + ", ".join(f"{c} long" for c in _columns(prints))
+    return run, "kind byte, a long, b long, " + ", ".join(f"{c} long" for c in columns)
 
 
-def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_by: int = 0, block: int = BLOCK) -> DataFrame:
-    """Edges ``a, b`` between nodes whose components are those of all links that the keys of
-    fingerprint ``keyed_by`` find in ``fps`` (f0, ..), which with one print are all links."""
+def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_by: int = 0, named: bool = False, block: int = BLOCK) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all links that the keys of fingerprint
+    ``keyed_by`` find in ``fps`` (f0, ..), which with one print are all links.  Edges join nodes, or
+    the values of ``fps.name`` if ``named``."""
     if prints == 1 and bits > 4:
         raise ValueError("the keys find links of up to 4 differing bits")
-    columns = _columns(prints)
+    columns = _columns(prints) + ["name"] * named
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,7 +309,7 @@ def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_b
                 at, key = keys_of(np.ascontiguousarray(values[keyed_by][lo : lo + 2048]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(v[lo : lo + 2048][at]) for v in values]], ["key", *columns])
 
-    group, schema = _link_groups(bits, block, prints)
+    group, schema = _link_groups(bits, block, prints, named)
     keys = fps.select(*columns).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in columns))
     found = settled(keys.repartition("key").sortWithinPartitions("key", *columns).mapInArrow(group, schema), "simhash-links")
     edges = found.where("kind = 0").select("a", "b")
@@ -316,7 +320,7 @@ def link_fingerprints(fps: DataFrame, bits: int = BITS, prints: int = 1, keyed_b
         F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *columns
     )
     # two blocks hold about block / 2 members; a limit that no hash-dealt pair meets keeps them whole
-    whole, schema = _link_groups(bits, 1 << 62, prints)
+    whole, schema = _link_groups(bits, 1 << 62, prints, named)
     more = pairs.repartition("key").sortWithinPartitions("key", *columns).mapInArrow(whole, schema)
     return edges.unionByName(more.select("a", "b")).distinct()
 
@@ -365,8 +369,13 @@ def classes(docs: DataFrame, shingle: int = 4, bits: int = BITS, prints: int = 1
     input row."""
     rows = settled(fingerprint(docs, shingle, prints, carry), "simhash-fp")
     fps = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in _columns(prints)])
-    edges = [link_fingerprints(fps, bits, prints, k) for k in range(prints)]
-    roots = components(edges[0] if prints == 1 else edges[0].unionByName(edges[1]))
+    roots = components(link_fingerprints(fps, bits, prints))
+    for k in range(1, prints):
+        # what is joined already goes by its root: only links between components come out
+        fps = fps.drop("name").join(roots, "node", "left").withColumn("name", F.coalesce("root", "node")).drop("root")
+        joined = components(link_fingerprints(fps, bits, prints, k, named=True)).select(F.col("node").alias("name"), "root")
+        to = fps.select("node", "name").join(joined, "name", "left")
+        roots = settled(to.select("node", F.coalesce("root", "name").alias("root")).where("node <> root"), "components")
     named = rows.join(roots, "node", "left")
     return named.select(*carry, F.col("f0").alias("fp"), F.coalesce("root", "node").alias("root"))
 
