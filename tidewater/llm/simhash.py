@@ -18,12 +18,8 @@ Linking at ``<= 4`` differing bits, exactly:
 
 Components of the links come from contracting every node into its smallest smaller neighbour.
 
-With ``prints=2`` a second, independent fingerprint of the same shingles goes with the first, the
-keys are taken from either in turn, and the differing bits of both are counted.  The share of
-differing bits is arccos(c) / pi for shingle sets of cosine c, so 20 of 128 bits stand for a Jaccard
-similarity of about 0.8 (cosine 0.89); pairs that are that similar then share a key with a
-probability that falls from near 1 (copies) to about one half (0.8).  ``SIMILAR`` holds these
-parameters; the exact guarantee above is for ``prints=1``.
+``keep_one`` and ``classes`` with ``jaccard`` link by the exact Jaccard similarity of the shingle sets
+(``similar``) in place of fingerprints; ``SIMILAR`` holds what the pipeline takes.
 
 Nulls, empty texts: no word, fingerprint zero, linked like any other.  Rows with equal ``doc_id``
 or equal text keep their own rows; a null ``doc_id`` never names a component unless no other id
@@ -41,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import similar
 from tidewater.llm.shared import parts, settled, slices, utf8
 
 BITS = 4
 BLOCK = 4096
-SIMILAR = {"shingle": 5, "prints": 2, "bits": 20}
+SIMILAR = {"shingle": 5, "jaccard": 0.8}
 _NEAR = 64  # groups up to this many members are compared by shifting the sorted run
 
 # ---------------------------------------------------------------- fingerprints
@@ -364,9 +361,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def classes(docs: DataFrame, shingle: int = 4, bits: int = BITS, prints: int = 1, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns, ``fp`` and ``root`` (which names the row's component), one row per
-    input row."""
+def classes(docs: DataFrame, shingle: int = 4, bits: int = BITS, prints: int = 1, carry: tuple[str, ...] = ("doc_id",), jaccard: float | None = None) -> DataFrame:
+    """The ``carry`` columns, ``fp`` (without ``jaccard``) and ``root`` (which names the row's
+    component), one row per input row."""
+    if jaccard is not None:
+        return similar.classes(docs, shingle, jaccard, carry)
     rows = settled(fingerprint(docs, shingle, prints, carry), "simhash-fp")
     fps = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in _columns(prints)])
     roots = components(link_fingerprints(fps, bits, prints))
@@ -388,12 +387,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = BITS) -> Data
     return found.join(least, "root").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], bits: int = SIMILAR["bits"], prints: int = SIMILAR["prints"]) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], jaccard: float = SIMILAR["jaccard"]) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the smallest
     doc_id stays (nulls last; then the smallest hash of the row), whole and once."""
     names = docs.columns
     marked = docs.withColumn("__row", F.xxhash64(*names))
-    found = classes(marked, shingle, bits, prints, ("doc_id", "__row"))
+    found = classes(marked, shingle, carry=("doc_id", "__row"), jaccard=jaccard)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("k")
     kept = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.__row").alias("__kept"))
     same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__row"] == kept["__kept"])
