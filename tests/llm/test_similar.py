@@ -78,3 +78,21 @@ def test_components_of_one_large_group(spark, monkeypatch, block):
     texts = {k: " ".join(changed(rng, first, int(rng.choice([8, 16, 25, 40])))) for k in range(150)}
     like, want = exact(texts)
     assert len(like) > 100 and 1 < len(want) < 140 and kept(spark, texts) == want
+
+
+def test_pairs_by_band_of_similarity(spark):
+    """Isolated pairs below and above the threshold: exactly those of 0.8 or more by brute force lose a text."""
+    rng, texts, like = np.random.default_rng(4), {}, {}
+    for k in range(240):
+        first = words(rng, int(rng.choice([50, 60, 200, 600])))
+        pair = {2 * k: " ".join(first), 2 * k + 1: " ".join(changed(rng, first, int(rng.choice([5, 12, 15, 20, 24, 40]))))}
+        texts |= pair
+        like |= exact(pair, 0.0)[0]
+    ids = kept(spark, texts)
+    bands = [0.5, 0.8, 0.85, 0.9, 1.01]
+    seen = {}
+    for lo, hi in zip(bands, bands[1:]):
+        inside = [p for p, j in like.items() if lo <= j < hi]
+        seen[lo] = (len(inside), sum(not (a in ids and b in ids) for a, b in inside))
+    print(seen)
+    assert all(n > 5 and lost == (n if lo >= 0.8 else 0) for lo, (n, lost) in seen.items()), seen
