@@ -50,3 +50,28 @@ def test_copies_and_unlike_texts(spark):
     rows = [(1, first, "en", "a", 1), (2, first, "en", "b", 1), (3, " ".join(near), "en", "a", 1), (4, second, "en", None, 1)]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_windows_follow_the_mixture_through_files(spark, tmp_path):
+    """Later rows of the mixture are longer, so that a scan reads the files of the mixture in another order."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    at = F.col("mix_position").cast("int")
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.floor(at / 20).cast("int")), lambda i: F.substring(F.md5((i + at * 1000).cast("string")), 1, 5)))
+    docs = mixing.mix(docs, alpha=0.5).select("doc_id", text.alias("text"), F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/in")
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{tmp_path}/in")
+    want = {r["doc_id"]: r["mix_position"] for r in mixing.mix(docs, alpha=0.5).select("doc_id", "mix_position").collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stages["mixture"](spark, docs, DATA).write.parquet(f"{tmp_path}/mixed")
+        mixed = spark.read.parquet(f"{tmp_path}/mixed")
+        stages["packing"](spark, mixed, DATA).write.parquet(f"{tmp_path}/packed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pieces = spark.read.parquet(f"{tmp_path}/packed").select("doc_id", "sequence_id").collect()
+    assert {r["doc_id"] for r in pieces} == set(want)
+    parts = {}
+    for r in pieces:
+        parts.setdefault(r["sequence_id"] >> 32, []).append(want[r["doc_id"]])
+    spans = [(min(parts[k]), max(parts[k])) for k in sorted(parts)]
+    assert len(spans) > 2 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
