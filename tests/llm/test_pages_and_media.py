@@ -297,3 +297,39 @@ def test_top_k(spark):
     few = topk.search(topk.integer_vectors(df.where("vec_id < 3")), F.col("vec_id") == 0, k=5).toPandas()
     assert few["rank"].tolist() == [1, 2]
     assert topk.search(topk.integer_vectors(df.where("false")), F.col("vec_id") == 0).count() == 0
+
+
+# ---------------------------------------------------------------- mixing against its weights
+
+
+@pytest.mark.parametrize("rows", [30_000, 300_000])
+def test_mixture_stays_near_its_weights(rows):
+    """20 sources, a third of the rows in one, and 100 small ones: less than two blocks from the fluid schedule of
+    the true weights at every slot, less than one at the ends of periods."""
+    for others in (19, 100):
+        sizes = {"a": rows // 3} | {f"s{i:03}": rows * 2 // 3 // others + i for i in range(others)}
+        blocks, weights = {s: -(-n // 32) for s, n in sizes.items()}, {s: n**0.5 for s, n in sizes.items()}
+        plan, order, ends = mixing.plan_periods(blocks, weights), [], []
+        for phase in range(plan[-1]["phase"] + 1):
+            now = [r for r in plan if r["phase"] == phase]
+            once = edf({r["src"]: r["quota"] for r in now}, now[0]["period"])
+            for _ in range(now[0]["repeats"]):
+                order += once
+                ends.append(len(order) - 1)
+        names = sorted(blocks)
+        got = np.cumsum(np.array(order)[:, None] == np.array(names)[None, :], axis=0)
+        # the target slot by slot, from the weights alone: what a used up source leaves goes to the others
+        n, w = np.array([blocks[s] for s in names], float), np.array([weights[s] for s in names])
+        have, target = np.zeros(len(names)), []
+        for _ in order:
+            room = 1.0
+            while room > 1e-9:
+                live = n - have > 1e-9
+                if not live.any():
+                    break
+                rate = np.where(live, w, 0) / w[live].sum()
+                step = min(room, ((n - have)[live] / rate[live]).min())
+                have, room = have + rate * step, room - step
+            target.append(have)
+        off = np.abs(got - np.array(target)).max(axis=1)
+        assert got[-1].tolist() == n.tolist() and off.max() < 2 and off[ends].max() < 1, (others, off.max())

@@ -1,17 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
 Documents of a source are numbered in the order of md5(doc_id) and cut into blocks of ``block``
-documents.  Time runs in slots of one block.  Within a *period* of Q slots a source with quota p of
-them has its j-th block (from 0) released at floor(j Q / p) and due at ceil((j + 1) Q / p);
-earliest deadline first among the released blocks keeps every source less than one block from
-p / Q of the slots passed, at every slot.  Quotas are the target weights in units of 1 / ``quantum``
-(at least one), so periods repeat, whole periods leave every source exactly on target, and one
-period's order serves all its repeats.
-
-Nothing is dropped or repeated: when a source has less than a quota left, one last period takes
-what it has, and the others go on at their weights among themselves.  The plan therefore has at
-most two kinds of period per source; it is small, and its size is checked before it is broadcast
-(beyond ``BROADCAST_BYTES`` it is joined by block instead).
+documents.  Time runs in slots of one block.  The target is the fluid schedule: every source that has
+blocks left progresses in proportion to its weight, and when one is used up the others go on at
+their weights among themselves.
+
+Slots are planned in *periods* of at most ``quantum``, with an end where a source is used up.  At the end of each, a source has the blocks that are
+due in the fluid schedule by then, and of the blocks begun there as many as there are slots left, those
+due first; so every source is less than one block from its target at the end of every period, however
+many there are, and a source may have no block in one.  Within a period of Q slots a source
+with quota p of them has its j-th block (from 0) released at floor(j Q / p) and due at
+ceil((j + 1) Q / p); earliest deadline first among the released blocks keeps every source less than one
+block from p / Q of the slots passed, so less than two from its target at every slot.
+
+Nothing is dropped or repeated.  Consecutive periods of equal quotas are one row per source in the plan,
+which has at most a row per block; it is joined by block, and broadcast up to ``BROADCAST_BYTES``.
 
 Numbering is by shards of the md5 order: counts per (source, shard), their running sums, and row
 numbers within a shard, so a source with a third of all rows is numbered by many tasks.
@@ -23,6 +26,7 @@ interchangeable.  Input columns named as the added ones are replaced.  An empty
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,23 +41,51 @@ def _source_key(source: str) -> Column:
     return F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
 
 
+def _used_up(blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slots after which sources are used up in the fluid schedule, ascending; the blocks of all that
+    are used up before, and the weight of the others."""
+    order = np.argsort(blocks / weights, kind="stable")
+    n, w = blocks[order], weights[order]
+    before, rest = np.cumsum(n) - n, np.cumsum(w[::-1])[::-1]
+    return before + n / w * rest, before, rest
+
+
+def fluid(blocks: np.ndarray, weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """(slots, sources): the blocks of each source after so many slots of the fluid schedule."""
+    at, before, rest = _used_up(blocks, weights)
+    i = np.minimum(np.searchsorted(at, slots), len(at) - 1)
+    time = (slots - before[i]) / rest[i]  # by which a source has weight * time blocks
+    return np.minimum(blocks[None, :], time[:, None] * weights[None, :])
+
+
 def plan_periods(blocks: dict[str, int], weights: dict[str, float], quantum: int = QUANTUM) -> list[dict]:
     """The periods in order; each row gives one source's quota in one kind of period: ``phase,
     first_slot, period, repeats, src, quota, first_block``."""
-    left, done, rows, slot, phase = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), [], 0, 0
-    while left:
-        whole = sum(weights[s] for s in left)
-        quota = {s: max(1, round(quantum * weights[s] / whole)) for s in left}
-        repeats = min(left[s] // quota[s] for s in left)
-        if not repeats:  # the last period of a source that runs out
-            quota, repeats = {s: min(quota[s], left[s]) for s in left}, 1
-        period = sum(quota.values())
-        for s in sorted(left):
-            rows.append({"phase": phase, "first_slot": slot, "period": period, "repeats": repeats, "src": s, "quota": quota[s], "first_block": done[s]})
-            done[s] += quota[s] * repeats
-            left[s] -= quota[s] * repeats
-        slot, phase = slot + period * repeats, phase + 1
-        left = {s: n for s, n in left.items() if n}
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    n, w = np.array([blocks[s] for s in names], np.int64), np.array([weights[s] for s in names], np.float64)
+    total, done, kinds = int(n.sum()), np.zeros(len(names), np.int64), []
+    breaks = _used_up(n, w)[0] if total else np.zeros(0)
+    ends = np.unique(np.concatenate([np.arange(quantum, total, quantum), np.floor(breaks + 1e-6), np.ceil(breaks - 1e-6), [total]]).astype(np.int64))
+    ends = ends[(ends > 0) & (ends <= total)].tolist()
+    for slot, end in zip([0, *ends], ends):  # within a period the target grows evenly
+        target = n.astype(np.float64) if end == total else fluid(n, w, np.array([end]))[0]
+        near = 1e-9 * np.maximum(target, 1.0)  # rounding is no part of a block
+        have = np.maximum(done, np.floor(target + near).astype(np.int64))
+        begun = np.flatnonzero(np.ceil(target - near) > have)
+        due = begun[np.argsort((have[begun] + 1) / w[begun], kind="stable")]
+        have[due[: end - int(have.sum())]] += 1
+        if int(have.sum()) != end:
+            raise ArithmeticError("quotas do not fill the period")
+        quota, first = have - done, done
+        if kinds and kinds[-1][1] == end - slot and np.array_equal(kinds[-1][3], quota):
+            kinds[-1][2] += 1
+        else:
+            kinds.append([slot, end - slot, 1, quota, first])
+        done = have
+    rows = []
+    for phase, (slot, period, repeats, quota, first) in enumerate(kinds):
+        for i in np.flatnonzero(quota).tolist():
+            rows.append({"phase": phase, "first_slot": slot, "period": period, "repeats": repeats, "src": names[i], "quota": int(quota[i]), "first_block": int(first[i])})
     return rows
 
 
@@ -119,14 +151,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
     plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns if c != "phase"])  # no name of the input meets one used here
     last = F.col("__p_first_block") + F.col("__p_quota") * F.col("__p_repeats")
-    if len(plan_rows) * 64 + sum(r["quota"] for r in plan_rows) * 8 <= BROADCAST_BYTES:
-        here = (F.col("__src") == F.col("__p_src")) & (F.col("mix_block") >= F.col("__p_first_block")) & (F.col("mix_block") < last)
-        joined = numbered.join(F.broadcast(plan), here)
-    else:
-        each = plan.withColumn("__p_k", F.explode(F.sequence(F.col("__p_first_block"), last - 1))).withColumn("__p_slots", F.array(F.get("__p_slots", ((F.col("__p_k") - F.col("__p_first_block")) % F.col("__p_quota")).cast("int"))))
-        joined = numbered.join(each, (F.col("__src") == F.col("__p_src")) & (F.col("mix_block") == F.col("__p_k")))
+    each = plan.withColumn("__p_k", F.explode(F.sequence(F.col("__p_first_block"), last - 1)))
+    within = (F.col("__p_k") - F.col("__p_first_block")) % F.col("__p_quota")
+    each = each.withColumn("__p_at", F.get("__p_slots", within.cast("int"))).drop("__p_slots", "__p_repeats")
+    if sum(r["quota"] * r["repeats"] for r in plan_rows) * 64 <= BROADCAST_BYTES:
+        each = F.broadcast(each)
+    joined = numbered.join(each, (F.col("__src") == F.col("__p_src")) & (F.col("mix_block") == F.col("__p_k")))
     j = F.col("mix_block") - F.col("__p_first_block")
-    at = F.when(F.size("__p_slots") == 1, F.get("__p_slots", F.lit(0))).otherwise(F.get("__p_slots", (j % F.col("__p_quota")).cast("int")))
+    at = F.col("__p_at")
     slot = F.col("__p_first_slot") + F.floor(j / F.col("__p_quota")) * F.col("__p_period") + at
     return joined.select(
         *names,
