@@ -299,6 +299,16 @@ def test_top_k(spark):
     assert topk.search(topk.integer_vectors(df.where("false")), F.col("vec_id") == 0).count() == 0
 
 
+def test_repeated_candidates_stay_rows(spark):
+    """As in the query's join: every row of a repeated id takes a place, and lower scores follow."""
+    vectors = {0: [1.0, 0.0], 1: [3.0, 0.0], 2: [2.0, 1.0], 3: [1.0, 2.0], 4: [0.5, 0.0], 5: [-1.0, 0.0], 6: [0.25, 0.0]}
+    for times in (2, 5, 7):
+        df = spark.createDataFrame([*vectors.items(), *[(1, vectors[1])] * (times - 1)], "vec_id long, embedding array<float>")
+        got = topk.search(topk.integer_vectors(df), F.col("vec_id") == 0, k=5, pivots=2, block=3).orderBy("rank").collect()
+        want = ([(1, 3 << 16)] * times + [(2, 2 << 16), (3, 1 << 16), (4, 1 << 15), (6, 1 << 14)])[:5]
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(i + 1, *x) for i, x in enumerate(want)]
+
+
 # ---------------------------------------------------------------- mixing against its weights
 
 

@@ -17,8 +17,9 @@ Pivots are a sample of at most ``pivots`` vectors; the directory of annuli has a
 
 Nulls: a row whose id or vector is null, or that holds a null or non-finite component, takes no
 part.  Shorter vectors count as padded with zeros.  Rows with a query's id are its own; repeated
-query rows with equal vectors give one result.  Ties go to the smaller id.  Scores are exact below
-2**53.  Other columns are ignored.  Empty tables give no rows.
+query rows with equal vectors give one result.  Repeated candidate rows stay rows of their own: an
+id that occurs twice can take two of the k places, as in a join.  Ties go to the smaller id.  Scores
+are exact below 2**53.  Other columns are ignored.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -167,13 +168,14 @@ def _visits(queries: DataFrame, index: Index, seeds: int, expand: bool) -> DataF
 
 
 def _scored(visits: DataFrame, index: Index, k: int) -> DataFrame:
-    """``uid, vec_id, score``: of every visit, the k best of the annulus that reach the floor."""
+    """``uid, vec_id, score`` and the row's ``annulus`` and ``place`` in it: of every visit, the k best
+    of the annulus that reach the floor."""
     width = index.width
     data = index.vectors.select("annulus", F.lit(0).alias("kind"), "vec_id", "v", *[F.lit(None).cast(t).alias(c) for c, t in (("queries", "array<long>"), ("own", "array<long>"), ("floors", "array<double>"))])
     asked = visits.select("annulus", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.col("qv").alias("v"), "queries", "own", "floors")
-    both = data.unionByName(asked).repartition("annulus").sortWithinPartitions("annulus", "kind", "vec_id")
+    both = data.unionByName(asked).repartition("annulus").sortWithinPartitions("annulus", "kind", "vec_id", "v")
 
-    def best(ids: np.ndarray, v: np.ndarray, b: pa.RecordBatch, rows: list[int]) -> Iterator[pa.RecordBatch]:
+    def best(here: int, ids: np.ndarray, v: np.ndarray, b: pa.RecordBatch, rows: list[int]) -> Iterator[pa.RecordBatch]:
         uid = np.concatenate([np.array(b.column(4)[i].as_py(), np.int64) for i in rows])
         own = np.concatenate([np.array(b.column(5)[i].as_py(), np.int64) for i in rows])
         floor = np.concatenate([np.array(b.column(6)[i].as_py(), np.float64) for i in rows])
@@ -187,7 +189,9 @@ def _scored(visits: DataFrame, index: Index, k: int) -> DataFrame:
             good = (top >= floor[lo : lo + 512, None]) & (top > -np.inf)
             at, j = np.nonzero(good)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(uid[lo + at]), pa.array(ids[order[at, j]]), pa.array(top[at, j].astype(np.int64))], ["uid", "vec_id", "score"])
+                place = order[at, j]
+                made = [uid[lo + at], ids[place], top[at, j].astype(np.int64), np.full(len(at), here, np.int64), place.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["uid", "vec_id", "score", "annulus", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, ids, parts, v = None, [], [], None
@@ -204,9 +208,9 @@ def _scored(visits: DataFrame, index: Index, k: int) -> DataFrame:
                     if v is None:
                         v, ids = np.concatenate(parts), [np.concatenate(ids)]
                     for lo in range(s, e, 64):
-                        yield from best(ids[0], v, b, list(range(lo, min(lo + 64, e))))
+                        yield from best(here, ids[0], v, b, list(range(lo, min(lo + 64, e))))
 
-    return both.mapInArrow(run, "uid long, vec_id long, score long")
+    return both.mapInArrow(run, "uid long, vec_id long, score long, annulus long, place long")
 
 
 def _first_k(scored: DataFrame, k: int) -> DataFrame:
