@@ -72,9 +72,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check_pieces(rows, texts, capacity=2048):
@@ -111,14 +109,25 @@ def test_packing_edges(spark):
 
 
 def test_encoder_on_random_text():
-    import public_tokenizers
-
     rng = np.random.default_rng(3)
-    letters = list("ab' .\n\tsé1!…漢 ")
+    letters = [*"ab' .\n\tsé1!…漢 ", "<|endoftext|>", "<|", "|>", "  "]
     texts = ["".join(rng.choice(letters, size=int(rng.integers(0, 40)))) for _ in range(3000)]
-    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in encoder.ids([t.encode() for t in texts])] == want
+    assert [packing.encoder().ids(t).tolist() for t in texts] == want
+
+
+def test_encoder_tells_words_of_equal_sums_apart():
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))  # Thue-Morse words: their polynomial hashes meet
+    b = a.translate(str.maketrans("ab", "ba"))
+    text = f"x {a} {b} {a}"
+    assert packing.encoder().ids(text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_takes_long_texts_in_chunks(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 40)
+    texts = ["the cat's 12 mats, " * 50, "a  b   c\n\nd " * 40, "x" * 500, " " * 300 + "y", "one two\nthree " * 30 + "<|endoftext|>" + " four" * 40]
+    want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encoder().ids(t).tolist() for t in texts] == want
 
 
 def test_differencing():

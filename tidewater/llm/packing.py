@@ -10,99 +10,87 @@ largest window exceeds the capacity, the window count rises and the differencing
 Everything happens in one pass over each input partition; nothing is shuffled and a task holds one
 group of pieces.  Sequence ids are made of the partition and a counter.
 
-Tokens: text is cut before single spaces and around single newlines, where the pattern always
-cuts, and each distinct cut is encoded once per task; texts with any other white space are encoded
-whole.  The vocabulary is read as ranks, which give the same ids as the ``tokenizers`` file of the
-same vocabulary (tested); strings of special tokens in a text are ordinary text.
-
-Nulls and empty texts: the closing id alone.  Repeated rows and ties keep one set of pieces each, a
-null ``doc_id`` stays null.  Other columns are ignored.  An empty table gives no rows.
+Tokens: the ids of the ``tokenizers`` file (tested against it), read from the rank file of the same
+vocabulary.  Texts without a run of white space before a word take a pattern without its look-ahead,
+which cuts them alike and is faster; strings of added tokens become those tokens, as in the file.
+
+Nulls and empty texts: the closing id alone.  Very long texts are encoded ``CHUNK`` characters at a
+time, cut at a single space between words; a task holds the ids of one text.  Repeated rows and ties
+keep one set of pieces each, a null ``doc_id`` stays null.  Other columns, whatever their names, are
+ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import parts, slices, span_hash, utf8
+from tidewater.llm.shared import parts
 
 END_ID = 1
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_KEPT_CUTS = 150_000
+CHUNK = 1 << 20  # characters encoded at a time
+_RUN = re.compile(r"\s\s+\S")
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: The part of the pattern that looks ahead: it only matters before the last of several white spaces.
+_AHEAD = r"|\s+(?!\S)"
 
 
 class Encoder:
-    """Token ids of texts, each distinct cut encoded once."""
+    """Token ids of texts, equal to those of the ``tokenizers`` file at ``path``: the ranks are those of
+    the same vocabulary, the strings of the file's added tokens become their ids."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, path: str, ranks_path: str, pattern: str):
         import tiktoken
 
+        with open(path, encoding="utf-8") as f:
+            self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[int, list[int]] = {}
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """uint32 ids of every text, without a closing id."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if t and _OTHER_SPACE.search(t.decode()):
-                out[i] = np.array(self.encode(t.decode()), np.uint32)
-            elif t:
-                plain.append(i)
-        for lo, hi in slices([texts[i] for i in plain]):
-            for i, ids in zip(plain[lo:hi], self._cut([texts[i] for i in plain[lo:hi]]), strict=True):
-                out[i] = ids
-        return out
-
-    def _cut(self, texts: list[bytes]) -> list[np.ndarray]:
-        raw = b"".join(texts)
-        data = np.frombuffer(raw, np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        space, line = data == 32, data == 10
-        white = space | line
-        inner = np.zeros(len(data), bool)
-        inner[1:-1] = ~white[:-2] & ~white[2:]
-        first = np.zeros(len(data), bool)
-        first[0] = True
-        first[ends[:-1]] = True
-        inner &= ~first
-        inner[ends - 1] = False
-        first |= (space | line) & inner
-        first[1:] |= (line & inner)[:-1]
-        start = np.flatnonzero(first)
-        end = np.append(start[1:], len(data))
-        code, unique = pd.factorize(span_hash(data, start, end))
-        where = np.zeros(len(unique), np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]  # the first place of each
-        a, b = start[where].tolist(), end[where].tolist()
-        if len(self.known) > _KEPT_CUTS:
-            self.known.clear()
-        known, encode = self.known, self.encode
-        ids_of = []
-        for h, s, e in zip(unique.tolist(), a, b, strict=True):
-            ids = known.get(h)
-            if ids is None:
-                ids = known[h] = encode(raw[s:e].decode())
-            ids_of.append(ids)
-        size = np.array([len(p) for p in ids_of])
-        pool = np.array([x for p in ids_of for x in p], np.uint32)
-        at = np.cumsum(size) - size
-        each = size[code]
-        total = np.cumsum(each)
-        flat = pool[np.repeat(at[code] - (total - each), each) + np.arange(total[-1])]
-        borders = total[np.searchsorted(end, ends)]
-        return np.split(flat, borders[:-1])
+        ranks = {token: n for token, n in ranks.items() if n not in set(self.added.values())}
+        made = [tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for name, p in (("whole", pattern), ("plain", pattern.replace(_AHEAD, "")))]
+        self.whole, self.plain = (e.encode_ordinary for e in made)
+
+    def ids(self, text: str) -> np.ndarray:
+        """uint32 ids of a text, without a closing id."""
+        found = []
+        for piece in self.split.split(text) if self.split and any(t in text for t in self.added) else (text,):
+            if piece in self.added:
+                found.append(np.array([self.added[piece]], np.uint32))
+            else:
+                found.extend(np.array(self.plain(c) if _RUN.search(c) is None else self.whole(c), np.uint32) for c in _chunks(piece))
+        return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+
+def _chunks(text: str) -> Iterator[str]:
+    """A text cut before single spaces between words, where the pattern always cuts."""
+    at = 0
+    while len(text) - at > CHUNK:
+        m = _BORDER.search(text, at + CHUNK)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    if at < len(text):
+        yield text[at:] if at else text
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str | None = None, ranks: str | None = None, pattern: str | None = None) -> Encoder:
+    """The encoder of a Python worker, which keeps it from task to task."""
+    import public_tokenizers
+
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -142,17 +130,15 @@ def balance(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k // 256)
 
 
-def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, capacity: int = 2048, piece: int = 512, windows: int = 128) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, pattern: str | None = None, capacity: int = 2048, piece: int = 512, windows: int = 128) -> DataFrame:
     """Per piece: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens,
-    sequence_id, offset``.  ``ranks`` is the path of a ``.tiktoken`` file and ``pattern`` its pattern,
-    by default those of the 50k byte-level vocabulary."""
+    sequence_id, offset``.  ``path`` is a ``tokenizers`` file, ``ranks`` the ``.tiktoken`` file of the same
+    vocabulary and ``pattern`` its pattern, by default those of the 50k byte-level vocabulary."""
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encoder = Encoder(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+        encode = encoder(path, ranks, pattern).ids
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         held: list[tuple] = []
@@ -174,25 +160,23 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
             return out
 
         for b in (p for whole in batches for p in parts(whole)):
-            keys, texts = b.column(0).to_pylist(), utf8(b.column(1))
-            for lo, hi in slices(texts):
-                for key, ids in zip(keys[lo:hi], encoder.ids(texts[lo:hi]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    n = len(ids)
-                    whole = n - n % capacity
-                    for at in range(0, whole, capacity):
-                        rows.append((key, at, capacity, ids[at : at + capacity].tobytes(), n, sequence, 0))
-                        sequence += 1
-                    rest = n - whole
-                    cuts = -(-rest // piece)
-                    for j in range(cuts):
-                        at, to = whole + rest * j // cuts, whole + rest * (j + 1) // cuts
-                        held.append((key, at, to - at, ids[at:to].tobytes(), n))
-                    held_tokens += rest
-                    if held_tokens >= windows * capacity:
-                        close()
-                    if len(rows) >= 1024:
-                        yield ready()
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4", copy=False)
+                n = len(ids)
+                whole = n - n % capacity
+                for at in range(0, whole, capacity):
+                    rows.append((key, at, capacity, ids[at : at + capacity].tobytes(), n, sequence, 0))
+                    sequence += 1
+                rest = n - whole
+                cuts = -(-rest // piece)
+                for j in range(cuts):
+                    at, to = whole + rest * j // cuts, whole + rest * (j + 1) // cuts
+                    held.append((key, at, to - at, ids[at:to].tobytes(), n))
+                held_tokens += rest
+                if held_tokens >= windows * capacity:
+                    close()
+                if len(rows) >= 1024:
+                    yield ready()
         close()
         if rows:
             yield ready()
