@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import struct
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -124,6 +126,80 @@ def test_extract_edges(spark, model):
     assert extract.extract(df.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " + '"' * 1_000_000, "<a " * 333_333, "<a " * 333_333 + ">", "<!-- " * 200_000, '<a ">" ' * 150_000, "<div>" * 200_000, "<div>" * 100_000 + "</p>" * 200_000, "<head>" * 160_000, "<script>" * 120_000, "<" * 1_000_000, "<a '\"" * 200_000],
+    ids=["quotes", "opened", "one tag", "comments", "quoted ends", "depth", "ends", "heads", "scripts", "signs", "mixed quotes"],
+)
+def test_scan_takes_time_in_proportion(page, model):
+    began = time.process_time()
+    model.texts([extract.parse(page)])
+    assert time.process_time() - began < 10  # a second or two; what was tried again and again took minutes
+
+
+def test_scan_of_markup():
+    found = [(m[2] + m[3], m[4].strip()) for m in extract.marks("a<p>b</P ><!-- <i> --><img alt='1 > 0' src=\"x\"><!doctype x>< 3 <5 <a title='open>c</a><?php ?><b")]
+    assert found == [("p", ""), ("/p", ""), ("", ""), ("img", "alt='1 > 0' src=\"x\""), ("", ""), ("a", "title='open"), ("/a", ""), ("", ""), ("", "")]
+    assert extract.parse("<div>" * 600 + "deep" + "</div>" * 600 + "after").leaf_text[-2:] == ["deep", "after"]
+
+
+_FIRST = "Farmers in the northern valley began the harvest two weeks early this year, after the warmest spring on record."
+_NEXT = "The cooperative expects the yield to fall by a tenth, its chair said, although prices are likely to rise before winter."
+_MENU = "<ul><li><a href='/w'>World</a></li><li><a href='/b'>Business</a></li><li><a href='/a'>Arts</a></li></ul>"
+#: Layouts without article and main elements that the model has not seen, with their main text.
+UNSEEN = [
+    (f"<body><div class='masthead'><div class='navigation'>{_MENU}</div></div><div class='post-content'><h1>Early harvest</h1><p>{_FIRST}</p><p>{_NEXT}</p></div><div class='comments-area'><p class='comment'>Nice read, thanks.</p></div><div class='site-footer'><p>&copy; 2021 Valley Post</p></div></body>", ["Early harvest", _FIRST, _NEXT]),
+    (f"<body><div id='nav'>{_MENU}</div><div id='story-body'><p>{_FIRST}</p><blockquote>{_NEXT}</blockquote><p>{_FIRST} {_NEXT}</p></div><div class='sidebar-widget'><h4>Popular</h4>{_MENU}</div><div id='cookie-banner'><p>This site stores cookies on your device.</p></div></body>", [_FIRST, _NEXT, f"{_FIRST} {_NEXT}"]),
+    (f"<body><table><tr><td class='nav'>{_MENU}</td><td class='content'><h2>Early harvest</h2><p>{_FIRST}</p><p>{_NEXT}</p></td></tr></table><div class='ads'>Half price tractors until Friday, see your dealer.</div><div class='footer-links'>{_MENU}</div></body>", ["Early harvest", _FIRST, _NEXT]),
+    (f"<body><div role='banner'>{_MENU}</div><section class='entry'><p>{_FIRST}</p><div class='related'>{_MENU}</div><p>{_NEXT}</p></section><section class='reader-comments'><p>{_NEXT}</p><p>I disagree with the chair.</p></section><form class='search'><label>Search the site</label><input></form></body>", [_FIRST, _NEXT]),
+]
+
+
+def test_pages_without_article_elements(spark, model):
+    df = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(UNSEEN)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in extract.extract(df, model).collect()}
+    assert [out[i].split("\n") for i in range(len(UNSEEN))] == [want for _, want in UNSEEN]
+
+
+class _Article(HTMLParser):
+    """The text of the article element, block by block, read by another parser; advert blocks are left out."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.lines, self.now = 0, [], ""
+
+    def _end(self):
+        if self.now.split():
+            self.lines.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in extract.BLOCKS:
+            self._end()
+        elif tag == "br":
+            self.now += " "
+
+    def handle_endtag(self, tag):
+        if tag in extract.BLOCKS:
+            self._end()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.now += data
+
+
+def test_article_text_by_another_parser(spark, model):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    out = {r["page_id"]: r["text"] for r in extract.extract(pages, model).collect()}
+    for row in pages.collect():
+        reader = _Article()
+        reader.feed(row["html"] or "")
+        reader.close()
+        assert out[row["page_id"]] == "\n".join(reader.lines)
+
+
 def test_seed_layouts(model):
     for page in extract.SEEDS:
         tree = extract.parse(page)

@@ -8,21 +8,24 @@ Sum-product messages, upward from the deepest level and downward again, give eve
 leaves whose marginal exceeds one half are kept, in page order, one line each.
 
 The weights maximise the labelled pages' likelihood (observed less expected features, the latter
-from the same messages).  Labelled pages: ``SEEDS``, layouts written for this purpose, and a bounded
+from the same messages).  Labelled pages: ``SEEDS``, layouts written or made by rule for this purpose, and a bounded
 sample of the table's pages that have exactly one ``article`` or ``main`` element, which labels its
 leaves (``sample`` pages at most, drawn by a hash of the id).
 
 Character references are decoded, white space inside a block (``br`` included) becomes one space,
 blocks are joined by one newline; nothing is cut.  Scripts, styles, comments and the head are
 markup, not text.  Null or empty html, or no content: an empty text.  Repeated rows and ties keep
-one result each; equal html gives equal text.  Broken markup is read as far as it goes.  Extra
-columns are ignored.  Nothing is shuffled.
+one result each; equal html gives equal text.  Broken markup is read as far as it goes: a page is
+scanned once, whatever is left open in it, so very long pages take time and memory in proportion.
+Extra columns, whatever their names, are ignored.  An empty table trains on the seeds and gives no
+rows.  Nothing is shuffled but the hashes that draw the sample.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,17 +47,39 @@ CLOSES_P = BLOCKS - {"body", "html", "button", "option", "legend", "summary", "t
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LEVEL_ENDS = frozenset(("ul", "ol", "dl", "table", "menu", "select", "article", "section", "div", "body", "main", "nav", "aside"))
 
-_MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*\Z",
-    re.S,
-)
+DEEPEST = 512  # elements nested deeper become siblings at this depth, as in browsers
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# possessive: a quote that is not closed is an ordinary character, and nothing is tried twice
+_REST = re.compile(r"(?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-main|data-cut)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
 
+def marks(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, slash, name and attributes of every piece of markup (the name is empty but for
+    elements), in one pass: what is not closed is looked for once.  The caller may send a place to go on at."""
+    at = 0
+    last = page.rfind(">")
+    quotes = True  # tags end outside quotes, until one is found not to
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            found = (i, end + 3 if end >= 0 else len(page), "", "", "")
+        elif page[i + 1 : i + 2] in ("!", "?", "/") and not _NAME.match(page, i):
+            found = (i, page.find(">", i) + 1 if i < last else len(page), "", "", "")
+        elif (m := _NAME.match(page, i)) is None or (i > last and page.find("<", i + 1) >= 0):
+            at = i + 1
+            continue
+        elif i > last:  # a tag that the page breaks off
+            found = (i, len(page), "", "", "")
+        else:
+            end = _REST.match(page, m.end()) if quotes else None
+            quotes = end is not None
+            to = end.end() if end else page.find(">", m.end()) + 1
+            found = (i, to, m[1], m[2].lower(), page[m.end() : to - 1])
+        at = (yield found) or found[1]
+
+
 class Tree:
     """Nodes in page order; parents come first.  Node 0 is the page."""
 
@@ -87,6 +112,8 @@ def parse(page: str) -> Tree:
     """The block tree of a page, with features."""
     t = Tree()
     stack = [(0, "#page")]  # open block elements
+    is_open: dict[str, int] = defaultdict(int)
+    unclosed: set[str] = set()
     text: list[str] = []
     linked = 0
     in_link = 0
@@ -118,27 +145,32 @@ def parse(page: str) -> Tree:
             if in_link:
                 linked += len(plain.strip())
 
-    def close(names: tuple[str, ...] | str, ends: frozenset[str] = frozenset()) -> None:
+    def close(names: tuple[str, ...], ends: frozenset[str] = frozenset()) -> None:
+        if not any(is_open[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][1] in names:
                 flush()
+                for _, x in stack[k:]:
+                    is_open[x] -= 1
                 del stack[k:]
                 return
             if stack[k][1] in ends:
                 return
 
+    found, to = marks(page), None
     while True:
-        m = _MARK.search(page, at)
-        if m is None:
+        try:
+            start, end, slash, name, attributes = found.send(to)
+        except StopIteration:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        to = None
+        add(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
+        if slash:
             if name in BLOCKS:
                 close((name,))
                 if name != "p":
@@ -147,12 +179,13 @@ def parse(page: str) -> Tree:
                 in_link = 0
             continue
         if name in SKIPPED or name in RAW:
-            if m[3].endswith("/") and name in ("svg", "math"):
+            if attributes.endswith("/") and name in ("svg", "math") or name in unclosed:
                 continue
-            end = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, at)
-            if name == "head" and end is None:
+            m = re.compile(rf"</{name}\s*+>" if name != "head" else r"</head\s*+>|(?=<body\b)", re.I).search(page, at)
+            if name == "head" and m is None:
+                unclosed.add(name)
                 continue
-            at = end.end() if end else len(page)
+            at = to = m.end() if m else len(page)
             continue
         if name == "br":
             add(" ")
@@ -170,7 +203,7 @@ def parse(page: str) -> Tree:
         if name in VOID:
             continue
         parent = stack[-1][0]
-        tokens, main, cut = _names(m[3]) if m[3].strip() else ((), False, False)
+        tokens, main, cut = _names(attributes) if attributes.strip() else ((), False, False)
         t.parent.append(parent)
         t.tag.append(name)
         t.depth.append(t.depth[parent] + 1)
@@ -180,12 +213,15 @@ def parse(page: str) -> Tree:
         t.link.append(0)
         t.want.append(t.want[parent] or main)
         t.cut.append(t.cut[parent] or cut)
-        stack.append((len(t.parent) - 1, name))
+        if len(stack) <= DEEPEST:
+            stack.append((len(t.parent) - 1, name))
+            is_open[name] += 1
     flush()
     _describe(t)
     return t
 
 
+_WHOLE = ("#page", "html", "body")
 _STORY = ("article", "main")
 _ENDS = (".", "!", "?", "…", "。", ":", '"', "”")
 
@@ -228,6 +264,7 @@ class Forest:
         self.start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.parent = np.fromiter((p + s if p >= 0 else -1 for t, s in zip(trees, self.start, strict=False) for p in t.parent), np.int64, self.start[-1])
         self.leaf = np.fromiter((x is not None for t in trees for x in t.leaf_text), bool, self.start[-1])
+        self.whole = np.fromiter((x in _WHOLE for t in trees for x in t.tag), bool, self.start[-1])
         depth = np.fromiter((d for t in trees for d in t.depth), np.int64, self.start[-1])
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1))) if len(depth) else []
@@ -252,8 +289,7 @@ def marginals(f: Forest, weights: np.ndarray, edges: np.ndarray) -> tuple[np.nda
     n = len(f.parent)
     belief = np.zeros((n, 2))
     belief[:, 1] = f.unary(weights)
-    if f.levels:
-        belief[f.levels[0], 0] = -30.0  # a page may hold content
+    belief[f.whole, 0] = -30.0  # a page may hold content
     up = np.zeros((n, 2))
     pair = edges[f.leaf.astype(np.int64)]
     for level in f.levels[:0:-1]:
@@ -341,6 +377,40 @@ SEEDS = [
     f"<body><header><h1>Harbour Times</h1><p class='tagline'>News from the coast since 1901.</p></header><nav>{_NAV}</nav><article data-main><header><h1>Harbour</h1></header><p>{_SAY}</p><p>{_MORE}</p><pre>a = 1; b = 2</pre><footer data-cut><p>Filed under <a href='/h'>harbour</a></p></footer></article><section id='comments'><h2>Comments</h2><ol><li><p>{_SAY}</p></li><li><p>{_MORE}</p></li></ol></section><aside><p>{_AD}</p></aside><footer>{_FOOT}</footer></body>",
     f"<body><article data-main><h1>Harbour</h1><p><b>{_SAY}<br><p>{_MORE}<p>{_SAY}</article><div class='ads sponsor'>{_AD}</div><div class='login'>{_FORM}</div><footer>{_FOOT}</footer></body>",
 ]
+#: Names that sites give their parts.
+_PARTS = {
+    "main": ("content", "post content", "entry", "story text", "article text", "page body", "entry body", "main text", "post", "copy"),
+    "menu": ("navigation", "nav menu", "masthead", "top navigation", "menu bar", "site header", "header links"),
+    "side": ("sidebar widget", "widget area", "related", "popular posts", "side column", "more stories", "recommended"),
+    "ad": ("ads", "advert", "sponsored promo", "banner ad", "ad slot"),
+    "talk": ("comments area", "reader comments", "comment list", "discussion", "responses"),
+    "foot": ("site footer", "footer links", "page footer copyright", "legal footer", "bottom links"),
+    "note": ("cookie banner", "consent notice", "notice bar", "newsletter box", "subscribe", "search box"),
+}
+
+
+def _layouts(n: int = 20) -> list[str]:
+    """Further layouts: those names in turn on divs, sections and table cells, in several orders."""
+    made = []
+    for k in range(n):
+        tag = ("div", "section", "td")[k % 3]
+        open_, close_ = ("<table><tr>", "</tr></table>") if tag == "td" else ("", "")
+
+        def part(name: str, body: str, k: int = k, tag: str = tag, mark: str = "") -> str:
+            words = _PARTS[name][k % len(_PARTS[name])]
+            attribute = "id" if k % 4 == 3 and not mark else "class"
+            return f"<{tag} {attribute}='{words.replace(' ', '-' if k % 2 else ' ')}'{mark}>{body}</{tag}>"
+
+        inner = part("side", _NAV, mark=" data-cut") if k % 5 == 4 and tag != "td" else ""
+        story = part("main", ("", "<h1>Harbour</h1>")[k % 2] + f"<p>{_SAY}</p>{inner}<p>{_MORE}</p>" + (_LONG if k % 4 < 2 else ""), mark=" data-main")
+        talk = part("talk", f"<p>{_MORE}</p><p>I do not agree.</p>" if k % 2 else _TALK)
+        side, ad, note = part("side", _SIDE if k % 2 else f"<h4>More</h4>{_NAV}"), part("ad", _AD if k % 3 == 0 else f"<p>{_AD}</p>"), part("note", (f"<p>{_NOTE}</p>", _FORM)[k % 2])
+        middle = (story + talk + side, side + story + talk, story + side + ad)[k % 3 if k % 2 else 0]
+        made.append(f"<body>{open_}{part('menu', _NAV)}{ad if k % 2 else ''}{middle}{note}{part('foot', _FOOT)}{close_}</body>")
+    return made
+
+
+SEEDS += _layouts()
 _APART = frozenset(("nav", "aside", "form", "footer", "button", "select", "noscript", "iframe"))
 
 
@@ -363,13 +433,13 @@ _CUT_NAMES = frozenset("name=" + x for x in ("comment", "ad", "advertisement", "
 
 def fit(pages: DataFrame, sample: int = 300) -> ContentModel:
     """A model of the seeds and of at most ``sample`` of the pages (a documented bound)."""
-    drawn = pages.where(F.col("html").isNotNull()).select("page_id", F.xxhash64(F.lit("extract"), "page_id", "url").alias("h"))
-    total = drawn.count()
-    share = F.lit(float(sample) / max(total, 1))
-    chosen = pages.where(F.col("html").isNotNull() & (F.xxhash64(F.lit("extract"), "page_id", "url").cast("double") / float(1 << 64) + 0.5 < share))
+    drawn = F.xxhash64(F.lit("extract"), "page_id", "url")
+    held = pages.where(F.col("html").isNotNull()).select(drawn.alias("h"), F.col("html").cast("string").alias("html"))
+    most = held.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = held.where(F.col("h") <= F.lit(most)).orderBy("h", "html").limit(sample)
     trees = [parse(s) for s in SEEDS] * 3  # as heavy as some of the table's own pages
     wanted = [[w and not c for w, c in zip(t.want, t.cut, strict=True)] for t in trees]
-    for row in chosen.select(F.col("html").cast("string"), "page_id").limit(2 * sample).orderBy("page_id").toLocalIterator():
+    for row in chosen.select("html").toLocalIterator():
         t = parse(row[0])
         labels = _own_labels(t)
         if labels is not None:
