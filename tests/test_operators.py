@@ -64,8 +64,9 @@ def test_plans(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in cut._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).replace("\n", " ")
     assert "TakeOrderedAndProject" in serving.top(serving.brands(stored), "revenue", 5, "brand")._jdf.queryExecution().toString()
     assert serving.between_dates(stored, start="x").count() == stored.count()
-    short, more = serving.truncated(stored, 3)
-    assert short.count() == 3 and more
+    assert [r["truncated"] for r in serving.truncated(stored, 3).collect()] == [True] * 3
+    assert [r["truncated"] for r in serving.truncated(stored.limit(3), 3).collect()] == [False] * 3
+    assert serving.with_default_limit(stored, 2).count() == 2 and serving.with_default_limit(stored, 0).count() == stored.count()
 
 
 def test_overview_of_nothing(spark):
@@ -81,9 +82,56 @@ def test_profile_and_catalog(spark):
     listed = catalog.column_catalog(spark)
     assert {r["display_name"] for r in listed.where("table_name = 'fact_events' AND column_name = 'price'").collect()} == {"Price"}
     hits = catalog.search(catalog.table_catalog(spark), listed, "brand").collect()
-    assert hits[0]["kind"] == "table" or hits[0]["column_name"]
+    assert [(r["table_name"], r["column_name"]) for r in hits] == sorted(((r["table_name"], r["column_name"]) for r in hits), key=lambda x: (x[0], x[1] or ""))
+    assert ("daily_brand_summary", None) in {(r["table_name"], r["column_name"]) for r in hits} and ("dim_product", "brand") in {(r["table_name"], r["column_name"]) for r in hits}
+    assert catalog.visible(catalog.table_catalog(spark)).where("table_name = 'stg_events'").count() == 0
     problems = catalog.definition_problems(spark, schemas.GOLD, listed.select("table_name", "column_name", "meaning"))
     assert problems.count() == 0
+    columns = "table_name string, column_name string, meaning string"
+    odd = spark.createDataFrame([("dim_x", "a", "m"), ("dim_x", "a", "m"), ("dim_x", "b", " "), ("dim_x", "z", "m")], columns)
+    x = spark.createDataFrame([], "a int, b int, c int").schema
+    found = {(r["problem"], r["column_name"]) for r in catalog.definition_problems(spark, {"dim_x": x}, odd).collect()}
+    assert found == {("repeated", "a"), ("blank", "b"), ("unknown", "z"), ("undefined", "c")}
+
+
+def test_json_or(spark):
+    from tidewater.functions import columns as fn
+
+    df = spark.createDataFrame([('{"a": 1}',), ("{broken",), (None,), ("[1]",), ("5",), ("{}",)], "j string")
+    default = F.struct(F.lit(-1).alias("a"))
+    assert [r[0]["a"] for r in df.select(fn.json_or(F.col("j"), "a int", default)).collect()] == [1, -1, -1, -1, -1, None]
+
+
+def test_text_rules(spark):
+    from tidewater.functions import columns as fn
+
+    one = spark.createDataFrame([("Ștefan țară ůže ėjo Ģirts Ķēniņš",)], "t string")
+    assert one.select(fn.fold_accents(F.col("t"))).first()[0] == "stefan tara uze ejo girts kenins"
+    sql = spark.createDataFrame([("SELECT 1",), ("SELECT 1 LIMIT 5;",)], "t string")
+    assert [r[0] for r in sql.select(fn.default_limit_sql(F.col("t"), 7)).collect()] == ["SELECT 1\nLIMIT 7", "SELECT 1 LIMIT 5"]
+    errors = spark.createDataFrame([("", True), ("", False), ("boom", True), ("metadata", True)], "e string, u boolean")
+    assert [r[0] for r in errors.select(fn.error_class(F.col("e"), unclear=F.col("u"))).collect()] == ["validation", "unknown", "validation", "metadata"]
+
+
+def test_written_layers(spark, tmp_path):
+    from tidewater.operators import clean
+
+    g = Gold(spark, DATA)
+    valid, bad = clean.split_valid(g.silver, F.lit("2024-02-03").cast("date"))
+    for _ in range(2):
+        tables.write_silver(valid, bad, f"{tmp_path}/silver", f"{tmp_path}/bad", "overwrite")
+    assert spark.read.parquet(f"{tmp_path}/silver").count() == valid.count() and spark.read.parquet(f"{tmp_path}/bad").count() == bad.count()
+    tables.write_partitioned(valid.limit(5), f"{tmp_path}/silver", "event_date", "odd")
+    assert spark.read.parquet(f"{tmp_path}/silver").count() == valid.count() + 5
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{tmp_path}/m/x=1")
+    spark.createDataFrame([(1, 2)], "a int, b int").write.parquet(f"{tmp_path}/m/x=2")
+    assert set(tables.read_or_none(spark, f"{tmp_path}/m", merge=True).columns) == {"a", "b", "x"}
+    assert clean.known_rows(valid, valid.where("kafka_partition = 0")).select("event_fingerprint").distinct().count() == valid.where("kafka_partition = 0").select("event_fingerprint").distinct().count()
+
+
+def test_served_from_stored_tables(spark):
+    plan = serving.overview(Gold(spark, DATA).daily("event"), Gold(spark, DATA).daily("brand"), "2024-01-20")._jdf.queryExecution().toString()
+    assert "events.parquet" not in plan and "gold-daily_event" in plan
 
 
 def test_sources(spark, tmp_path):

@@ -90,16 +90,19 @@ def run_seconds(start: Column, end: Column) -> Column:
 
 
 def json_or(c: Column, schema: str, default: Column) -> Column:
-    """Parsed JSON; the default where it is missing or malformed."""
-    return F.coalesce(F.from_json(c, schema), default)
+    """A JSON object parsed by a DDL schema; the default where it is missing, malformed or no object."""
+    parsed = F.from_json(c, f"{schema}, __broken string", {"columnNameOfCorruptRecord": "__broken"})
+    good = F.trim(c).startswith("{") & parsed["__broken"].isNull()
+    return F.coalesce(F.when(good, parsed.dropFields("__broken")), default)
 
 
 # ---------------------------------------------------------------- text
 
 #: Vietnamese and Latin letters and their plain forms.
 _ACCENTED = {
-    "a": "àáạảãâầấậẩẫăằắặẳẵäåā", "e": "èéẹẻẽêềếệểễëēę", "i": "ìíịỉĩîïī", "o": "òóọỏõôồốộổỗơờớợởỡöōő",
-    "u": "ùúụủũưừứựửữûüūű", "y": "ỳýỵỷỹÿ", "c": "çćč", "n": "ñńň", "s": "śš", "z": "źżž", "d": "đď", "l": "ĺľ", "r": "ŕř", "t": "ťţ", "g": "ğ",
+    "a": "àáạảãâầấậẩẫăằắặẳẵäåāąǎȁȃ", "e": "èéẹẻẽêềếệểễëēęĕėěȅȇ", "i": "ìíịỉĩîïīĭįǐȉȋ", "o": "òóọỏõôồốộổỗơờớợởỡöōőŏǒǫȍȏ",
+    "u": "ùúụủũưừứựửữûüūűŭůųǔȕȗ", "y": "ỳýỵỷỹÿŷ", "c": "çćčĉċ", "n": "ñńňņǹ", "s": "śšŝşș", "z": "źżž", "d": "đď", "l": "ĺľļ", "r": "ŕřŗ",
+    "t": "ťţț", "g": "ğĝġģǧ", "k": "ķǩ", "h": "ĥȟ", "j": "ĵǰ", "w": "ŵ",
 }
 _MARKS = "[\\u0300-\\u036f]"
 
@@ -206,8 +209,8 @@ def missing_fields(question: Column, columns: Column, expected: dict[str, list[s
     return F.filter(wanted, lambda f: ~F.exists(columns, lambda c: F.contains(F.lower(c), f)))
 
 
-def error_class(error: Column, guard_status: Column | None = None) -> Column:
-    """Class of a run's error; the first rule that matches."""
+def error_class(error: Column, guard_status: Column | None = None, unclear: Column | None = None) -> Column:
+    """Class of a run's error; the first rule that matches.  ``unclear`` marks runs that asked back."""
     e = F.lower(F.coalesce(error, F.lit("")))
 
     def holds(*terms: str) -> Column:
@@ -220,6 +223,7 @@ def error_class(error: Column, guard_status: Column | None = None) -> Column:
         .when(holds("groq", "llm", "openai", "api key", "rate limit"), "llm")
         .when(holds("persistence failed"), "persistence")
         .when(holds("metadata"), "metadata")
+        .when(F.coalesce(unclear, F.lit(False)) if unclear is not None else F.lit(False), "validation")
         .when(e == "", "unknown")
         .otherwise("other")
     )

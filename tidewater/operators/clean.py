@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater import schemas
@@ -76,10 +76,13 @@ def split_valid(silver_df: DataFrame, processing_date: Column | None = None) ->
 
 
 def keep_latest(df: DataFrame, keys: list[str], order: tuple[str, ...] = ARRIVAL) -> DataFrame:
-    """One row per key: the last to arrive (nulls last); columns that ``df`` lacks do not order."""
-    by = [F.col(c).desc_nulls_last() for c in order if c in df.columns]
-    w = Window.partitionBy(*keys).orderBy(*by)
-    return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    """One row per key: the last to arrive (nulls last); columns that ``df`` lacks do not order.  Rows
+    are combined before the shuffle; select what is needed first."""
+    by = F.struct(*[F.col(c) for c in order if c in df.columns] or [F.lit(0)])
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.dropDuplicates(keys)
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), by).alias("__last")).select(*[c if c in keys else F.col(f"__last.`{c}`").alias(c) for c in df.columns])
 
 
 def new_rows(df: DataFrame, existing: DataFrame, key: str = "event_fingerprint") -> DataFrame:

@@ -48,6 +48,24 @@ def last_turns(turns: DataFrame, session: str, order: str, k: int = 4, text: Col
     return out.select(session, F.size("x").cast("bigint").alias("n_turns"), F.concat_ws("\n", F.col("x.t")).alias("context"), F.element_at("x.t", -1).alias("last_text"))
 
 
+def session_context(turns: DataFrame, session: str, order: str, k: int = 4, summarised: int = 3, sample: int = 3) -> DataFrame:
+    """What the last ``k`` turns (question, sql, columns, rows) leave as context: a summary of the last
+    few in order, and the latest turn's question, statement, columns and first rows."""
+    w = Window.partitionBy(session).orderBy(F.col(order).desc())
+    kept = turns.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    held = kept.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(order, "question", "sql", "columns", "rows"))).alias("x"))
+
+    def line(turn: Column) -> Column:
+        asked, sql, names = F.trim(turn["question"]), F.trim(turn["sql"]), F.array_join(turn["columns"], ", ")
+        said = F.array(F.when(asked != "", F.concat(F.lit("User asked: "), asked)), F.when(names != "", F.concat(F.lit("Returned columns: "), names)), F.when(sql != "", F.concat(F.lit("Executed SQL: "), sql)))
+        return F.array_join(F.array_compact(said), "\n")
+
+    last = F.element_at("x", -1)
+    late = F.slice("x", F.greatest(F.size("x") - summarised + 1, F.lit(1)), F.lit(summarised))
+    text = F.array_join(F.filter(F.transform(late, line), lambda s: s != ""), "\n")
+    return held.select(session, text.alias("conversation_summary"), last["question"].alias("last_question"), last["sql"].alias("last_sql"), last["columns"].alias("last_result_columns"), F.slice(last["rows"], 1, sample).alias("last_result_sample"))
+
+
 def pipeline_state(runs: DataFrame, now: Column) -> DataFrame:
     """Per pipeline: last run's state (1, 0, -1) and duration, last success, seconds since then."""
     state = F.when(F.col("l.state") == "success", 1).when(F.col("l.state") == "failed", 0).otherwise(-1)
@@ -112,6 +130,12 @@ def fixed_window_limit(hits: DataFrame, key: str, ts: str, limit: int = 30, seco
     return out.select("*", (F.col("hit") <= limit).alias("allowed"), F.greatest(limit - F.col("hit"), F.lit(0)).cast("bigint").alias("remaining"), (F.col("window_start") + seconds - F.unix_timestamp(ts)).cast("bigint").alias("retry_after"))
 
 
+def sliding_latency(log: DataFrame, q: float = 0.95, size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """The bucket quantile of the latency over sliding windows."""
+    cut = log.select(F.window("created_at", size, slide)["start"].alias("window_start"), "latency_ms")
+    return bucket_quantile(latency_histogram(cut, "window_start"), q, "window_start")
+
+
 def sliding_error_rate(log: DataFrame, size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """Requests, rate per second and error share over sliding windows; also for streams."""
     bad = F.count_if(F.col("status") == "failed")

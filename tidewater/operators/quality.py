@@ -76,6 +76,16 @@ def enforce(report: DataFrame) -> None:
         raise ContractError("; ".join(f"{r['table_name']}: {r['check_name']} = {r['n_violations']}" for r in bad))
 
 
+def refresh_counters(silver: DataFrame, existing: DataFrame, key: str = "event_fingerprint") -> DataFrame:
+    """One row: valid, invalid, deduped (repeats within the batch), skipped (keys that exist), written."""
+    sides = silver.groupBy("is_valid").agg(F.count(F.lit(1)).alias("n"))
+    one = sides.agg(F.coalesce(F.sum(F.when(F.col("is_valid"), F.col("n"))), F.lit(0)).alias("valid"), F.coalesce(F.sum(F.when(~F.col("is_valid"), F.col("n"))), F.lit(0)).alias("invalid"))
+    have = existing.select(key).distinct().withColumn("__have", F.lit(True))
+    kept = silver.where("is_valid").select(key).distinct().join(have, key, "left").agg(F.count(F.lit(1)).alias("kept"), F.count("__have").alias("skipped"))
+    both = one.crossJoin(F.broadcast(kept))  # a row each
+    return both.select("valid", "invalid", (F.col("valid") - F.col("kept")).alias("deduped"), "skipped", (F.col("kept") - F.col("skipped")).alias("written"))
+
+
 def observed(df: DataFrame, name: str = "refresh") -> tuple[DataFrame, Observation]:
     """Counts of valid and invalid rows taken while another action runs."""
     seen = Observation(name)

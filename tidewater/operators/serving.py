@@ -137,9 +137,16 @@ def with_default_limit(df: DataFrame, n: int = 100) -> DataFrame:
     return df.limit(n) if n > 0 else df
 
 
-def truncated(df: DataFrame, n: int = 100) -> tuple[DataFrame, bool]:
-    """At most n rows, and whether there were more."""
-    return df.limit(n), df.limit(n + 1).count() > n
+def truncated(df: DataFrame, n: int = 100) -> DataFrame:
+    """At most n rows, each with whether there were more (``truncated``); n + 1 rows are read, once."""
+    every = F.count(F.lit(1)).over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.lit(1)))
+    return df.limit(n + 1).withColumns({"__place": place, "truncated": every > n}).where(F.col("__place") <= n).drop("__place")
+
+
+def with_total(page_rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """A page with the number of all rows of its listing."""
+    return page_rows.crossJoin(F.broadcast(listing.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
 def search_all(df: DataFrame, text: str) -> DataFrame:

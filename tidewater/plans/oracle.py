@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewater.sources.fixtures import SQL_TEXTS
+
 _INT = "CASE WHEN regexp_matches(trim({c}), '^[+-]?[0-9]+$') THEN TRY_CAST(trim({c}) AS BIGINT) END AS {c}"
 _PARTS = ["strftime(event_ts, '%Y-%m-%d %H:%M:%S')", "event_type", "CAST(product_id AS VARCHAR)", "CAST(category_id AS VARCHAR)", "category_code", "brand", "CAST(price AS VARCHAR)", "CAST(user_id AS VARCHAR)", "user_session"]
 _PRINT = "sha256(concat_ws('||', " + ", ".join(f"coalesce({p}, '_null_')" for p in _PARTS) + "))"
@@ -134,6 +136,15 @@ def _contract(table: str, key: str, label: str) -> str:
     return f"SELECT 'null_{key}' AS check_name, '{label}' AS table_name, a AS n_violations FROM {inner} UNION ALL SELECT 'duplicate_{key}', '{label}', b FROM {inner}"
 
 
+_KINDS = {
+    "events": {"event_id": "numeric", "ts": "time", "user_id": "numeric", "event_type": "categorical", "value": "numeric", "props": "categorical"},
+    "part": {"p_partkey": "numeric", "p_name": "categorical", "p_brand": "categorical", "p_type": "categorical", "p_size": "numeric", "p_retailprice": "numeric"},
+    "orders": {"o_orderkey": "numeric", "o_custkey": "numeric", "o_orderstatus": "categorical", "o_totalprice": "numeric", "o_orderdate": "time", "o_orderpriority": "categorical"},
+}
+_PRODUCT_KINDS = {
+    **dict.fromkeys(("summary_id", "brand", "category_l1", "category_l2", "category_l3"), "categorical"), "event_date": "time", "gold_processed_at": "time",
+    **dict.fromkeys(("product_id", "view_count", "cart_count", "remove_from_cart_count", "purchase_count", "unique_events", "unique_users", "unique_sessions", "revenue", "avg_price", "min_price", "max_price", "conversion_rate", "cart_to_purchase_rate"), "numeric"),
+}
 SILVER_OUT = "source_event_id, event_fingerprint, event_date, event_year, event_month, event_day, event_hour, event_type, product_id, category_id, category_code, category_l1, category_l2, category_l3, brand, price, user_id, user_session, kafka_partition, kafka_offset, is_valid, invalid_reason"
 
 
@@ -198,16 +209,49 @@ def oracle_sql() -> dict[str, str]:
         "column_totals": f"{DAILY} SELECT unnest(['view_count', 'cart_count', 'purchase_count', 'revenue']) AS name, unnest([sum(view_count)::DOUBLE, sum(cart_count)::DOUBLE, sum(purchase_count)::DOUBLE, sum(revenue::DOUBLE)]) AS total FROM db",
         "search_rows": f"{DAILY} SELECT category_l1, category_l2, category_l3, total_events FROM dc WHERE total_events > 2 AND contains(lower(concat_ws(' ', category_l1, category_l2, category_l3, CAST(total_events AS VARCHAR))), 'standard')",
         "top_revenue_rows": f"{DAILY} SELECT summary_id, revenue FROM dpr ORDER BY revenue DESC, summary_id LIMIT 20",
+        "top_revenue_categories": f"{DAILY} SELECT summary_id, revenue FROM dc ORDER BY revenue DESC, summary_id LIMIT 20",
+        "top_revenue_brands": f"{DAILY} SELECT summary_id, revenue FROM db ORDER BY revenue DESC, summary_id LIMIT 20",
+        "most_viewed_brand_month": f"{DAILY} SELECT brand, CAST(sum(view_count) AS BIGINT) AS views FROM db WHERE year(event_date) = 2024 AND month(event_date) = 1 AND brand <> 'unknown' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
+        "event_totals": f"{BASE} SELECT event_type, count(*) AS n, count(*) FILTER (is_purchase) AS purchases, {_REV} AS gross FROM fe GROUP BY ROLLUP (event_type)",
+        "brand_not_filter": f"{DAILY} SELECT event_date, brand, view_count FROM db WHERE brand <> 'brand#1'",
+        "refresh_counters": f"""{BASE}, k AS (SELECT event_fingerprint AS f, bool_or(kafka_partition = 0) AS have FROM s WHERE is_valid GROUP BY 1)
+            SELECT (SELECT count(*) FROM s WHERE is_valid) AS valid, (SELECT count(*) FROM s WHERE NOT is_valid) AS invalid, (SELECT count(*) FROM s WHERE is_valid) - count(*) AS deduped, count(*) FILTER (have) AS skipped, count(*) FILTER (NOT have) AS written FROM k""",
+        "sales_to_events": f"{BASE} SELECT fe.event_type, substring(fe.time_id, 9, 2) AS hour, count(*) AS sales, CAST(sum(gross_amount) AS DECIMAL(18,2)) AS revenue, CAST(sum(total_purchases) AS BIGINT) AS user_purchases FROM fs JOIN fe USING (event_fingerprint) LEFT JOIN dss ON fs.session_id = dss.session_id LEFT JOIN du ON dss.user_id = du.user_id GROUP BY 1, 2",
+        "failed_runs_page": f"{_LOG}, l AS (SELECT run_id, user_id, latency_ms FROM lg WHERE status = 'failed' AND 'Question ' || run_id ILIKE '%question 1%') SELECT *, (SELECT count(*) FROM l) > 20 AS has_next, (SELECT count(*) FROM l) AS total FROM l ORDER BY run_id DESC LIMIT 10 OFFSET 10",
+        "session_context": """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS q, CASE WHEN turn % 2 = 0 THEN 'SELECT ' || turn ELSE '' END AS s, CASE WHEN turn % 3 > 0 THEN 'event_date, total_revenue' ELSE '' END AS c,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
+            l AS (SELECT *, concat_ws(chr(10), CASE WHEN trim(q) <> '' THEN 'User asked: ' || trim(q) END, CASE WHEN c <> '' THEN 'Returned columns: ' || c END, CASE WHEN s <> '' THEN 'Executed SQL: ' || s END) AS line FROM t WHERE r <= 4)
+            SELECT conv_id, md5(coalesce(string_agg(line, chr(10) ORDER BY turn) FILTER (r <= 3 AND line <> ''), '')) AS summary, md5(max(q) FILTER (r = 1)) AS last_question, max(s) FILTER (r = 1) AS last_sql,
+                replace(max(c) FILTER (r = 1), ', ', ',') AS last_columns, max(concat_ws(',', 100 + turn, 200 + turn, 300 + turn)) FILTER (r = 1) AS sample FROM l GROUP BY 1""",
+        "sliding_latency": f"""{_LOG}, x AS (SELECT latency_ms / 1000.0::DOUBLE AS sec, CAST(floor(epoch(created_at)) AS BIGINT) // 60 * 60 - 60 * unnest([0, 1, 2, 3, 4]) AS window_start FROM lg),
+            le AS (SELECT unnest([{', '.join(map(str, _LE))}, 'inf'::DOUBLE]::DOUBLE[]) AS le), h AS (SELECT window_start, le, count(*) FILTER (sec <= le) AS n FROM x, le GROUP BY 1, 2),
+            w AS (SELECT *, coalesce(lag(le) OVER o, 0) AS lo, coalesce(lag(n) OVER o, 0) AS before, max(n) OVER (PARTITION BY window_start) AS total FROM h WINDOW o AS (PARTITION BY window_start ORDER BY le)),
+            p AS (SELECT *, 0.95::DOUBLE * total AS rank FROM w WHERE n >= 0.95::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY le) = 1)
+            SELECT window_start, round(CASE WHEN isinf(le) THEN 60.0 ELSE lo + (le - lo) * (rank - before) / (n - before) END, 6) AS p95 FROM p""",
+        "pipeline_alerts": f"{_LOG} SELECT CAST(created_at AS DATE) AS day, 100.0::DOUBLE * count(*) FILTER (status = 'failed') / count(*) > 20 AS high_error, quantile_cont(latency_ms / 1000.0::DOUBLE, 0.95) > 20 AS slow_p95, max(run_id) * 10 > 86400 AS stale FROM lg GROUP BY 1",
+        "catalog_listing": " UNION ALL ".join(
+            f"SELECT 'stg_{t}' AS table_name, {len(columns)}::BIGINT AS n_columns, count(*) AS n_rows, concat_ws(',', {', '.join(f"'{c}:{kind}:' || (count(*) - count({c}))" for c, kind in sorted(columns.items()))}) AS columns_found FROM {t}"
+            for t, columns in _KINDS.items()
+        ),
+        "column_kinds": f"{DAILY} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{kind}' AS kind, count(*) AS rows, count(*) - count({c if c != 'gold_processed_at' else '*'}) AS nulls FROM dpr" for c, kind in _PRODUCT_KINDS.items()),
         "last_events": f"{_LOG} SELECT run_id, user_id, status FROM lg ORDER BY run_id DESC LIMIT 50",
-        "lineitem_brand_month": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, p_brand, count(*) AS items, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
+        "lineitem_brand_month": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, p_brand, count(*) AS items, CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(18,2)) AS DOUBLE) AS net FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
         "value_counts": f"{BASE} SELECT event_type, count(*) AS n FROM fe GROUP BY 1",
         "null_counts": f"{BASE} SELECT unnest(['event_ts', 'product_id', 'category_code', 'category_l3', 'user_id', 'price', 'invalid_reason']) AS column_name, unnest([count(*) - count(event_ts), count(*) - count(product_id), count(*) - count(category_code), count(*) - count(category_l3), count(*) - count(user_id), count(*) - count(price), count(*) - count(invalid_reason)]) AS nulls FROM s",
         "category_depth": f"{BASE} SELECT CAST(CASE WHEN trim(coalesce(category_code, '')) = '' THEN 0 ELSE len(string_split(trim(category_code), '.')) END AS INTEGER) AS depth, count(*) AS n FROM raw GROUP BY 1",
         "non_digit_ids": f"{BASE} SELECT product_id, count(*) AS n FROM raw WHERE NOT regexp_matches(product_id, '^[0-9]+$') GROUP BY 1",
         "repeated_values": f"{DAILY} SELECT brand, count(*) AS n FROM db GROUP BY 1 HAVING count(*) > 1",
         "text_tags": f"SELECT doc_id, CASE WHEN d IS NOT NULL THEN 'destructive' WHEN i IS NOT NULL THEN 'injection' ELSE 'safe' END AS category, coalesce(d, i) AS term FROM (SELECT doc_id, {_first(_DANGER)} AS d, {_first(_INJECT)} AS i FROM (SELECT doc_id, {_FOLD} AS x FROM documents))",
-        "sql_audit": """SELECT ['safe', 'safe', 'safe', 'not_select', 'multiple_statements', 'safe', 'not_select', 'empty'][event_id % 8 + 1] AS class, event_id % 8 = 2 AS has_limit,
-            CAST(CASE WHEN event_id % 8 = 0 THEN 1 ELSE 0 END AS BIGINT) AS bad_literals, count(*) AS n FROM events GROUP BY 1, 2, 3""",
+        "sql_audit": f"""WITH t AS (SELECT '  ' || [{", ".join("'" + x.replace("'", "''") + "'" for x in SQL_TEXTS)}][event_id % 8 + 1] || CASE event_id % 5
+                WHEN 1 THEN ' WHERE event_type = ''' || CASE WHEN event_id % 3 = 0 THEN upper(event_type[1]) || event_type[2:] ELSE event_type END || ''''
+                WHEN 2 THEN ' /* limit ' || event_type || ' */' WHEN 3 THEN ' LIMIT 10 ;  ' ELSE '' END AS x FROM events),
+            p AS (SELECT x, regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s*;?\\s*$', '') AS y FROM t),
+            z AS (SELECT x, y, regexp_replace(regexp_replace(regexp_replace(y, '--[^\\n]*', ' ', 'g'), '/\\*.*?\\*/', ' ', 'gs'), '''(?:''''|[^''])*''', '''''', 'g') AS s FROM p)
+            SELECT CASE WHEN y = '' THEN 'empty' WHEN contains(y, ';') THEN 'multiple_statements' WHEN NOT regexp_matches(y, '^(SELECT|WITH)\\s', 'i') THEN 'not_select'
+                WHEN regexp_matches(s, '\\b(INSERT|UPDATE|DELETE|DROP|ALTER|TRUNCATE|CREATE|MERGE|CALL|GRANT|REVOKE|EXECUTE)\\b', 'i') THEN 'forbidden_keyword' ELSE 'safe' END AS class,
+                regexp_matches(s, '\\bLIMIT\\b', 'i') AS has_limit,
+                CAST(len(list_filter(regexp_extract_all(x, '\\b(?:brand|category_l1|category_l2|category_l3|event_type)\\b\\s*(?:=|<>|!=)\\s*''([^'']*)''', 1, 'i'), lambda v: v <> lower(trim(v)))) AS BIGINT) AS bad_literals,
+                count(*) AS n FROM z GROUP BY 1, 2, 3""",
         "accent_fold": f"SELECT doc_id, md5({_FOLD}) AS folded, CAST(length(trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g'))) AS BIGINT) AS n FROM documents",
         "session_titles": "SELECT conv_id, turn, CASE WHEN length(t) > 80 THEN substring(t, 1, 77) || '...' ELSE t END AS title FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)",
         "fuzzy_levenshtein": f"{_ASK}, c AS (SELECT DISTINCT typo, ft FROM fold), v AS (SELECT DISTINCT brand, fb FROM fold) SELECT typo AS candidate, brand AS value, CAST(levenshtein(ft, fb) AS BIGINT) AS distance FROM c, v WHERE levenshtein(ft, fb) <= 2",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +28,49 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.drop(*_AUDIT)
 
 
+_LAYERS: dict[tuple[str, str, str], str] = {}
+
+
 class Gold:
-    """The layers over one folder of tables; frames are lazy."""
+    """The layers over one folder of tables.  Staging, the product dimension and the summaries are written
+    once per application and folder, when first asked for, and served from there."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
         self.raw = fx.raw_events(spark, sf_dir)
         self.silver = clean.silver(self.raw, _at())
-        self.stg = star.staging(self.silver, _at())
-        self.events = star.fact_events(self.stg, _at())
-        self.sales = star.fact_sales(self.events, _at())
+
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        found = tables.read_or_none(self.spark, _LAYERS[key]) if key in _LAYERS else None
+        if found is None:
+            base = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not base:  # on one machine only
+                base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+                self.spark.conf.set("spark.checkpoint.dir", base)
+            _LAYERS[key] = f"{base.rstrip('/')}/gold-{name}-{uuid.uuid4().hex}"
+            make().write.parquet(_LAYERS[key])
+            found = self.spark.read.parquet(_LAYERS[key])
+        return found
+
+    @property
+    def stg(self) -> DataFrame:
+        return self._stored("stg_events", lambda: star.staging(self.silver, _at()))
+
+    @property
+    def events(self) -> DataFrame:
+        return star.fact_events(self.stg, _at())
+
+    @property
+    def sales(self) -> DataFrame:
+        return star.fact_sales(self.events, _at())
 
     @property
     def product(self) -> DataFrame:
-        return star.dim_product(self.stg, _at())
+        return self._stored("dim_product", lambda: star.dim_product(self.stg, _at()))
 
     def daily(self, which: str) -> DataFrame:
-        return summaries.build(which, self.events, self.product, _at())[which]
+        return self._stored(f"daily_{which}", lambda: summaries.build(which, self.events, self.product, _at())[which])
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,18 +106,25 @@ def offset_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
 _gold("silver_clean", lambda g: _plain(g.silver).drop("kafka_ts", "bronze_ingested_at", "event_ts"))
 _gold("silver_invalid_reasons", lambda g: g.silver.where("NOT is_valid").groupBy("invalid_reason").agg(F.count(F.lit(1)).alias("n")))
 _gold("silver_split", lambda g: g.silver.groupBy("is_valid").agg(F.count(F.lit(1)).alias("n")))
-_gold("silver_dedup", lambda g: clean.keep_latest(g.silver.where("is_valid"), ["event_fingerprint"]).select("event_fingerprint", "source_event_id", "kafka_offset"))
+_ARRIVED = ("event_fingerprint", "source_event_id", *clean.ARRIVAL)
+_gold("silver_dedup", lambda g: clean.keep_latest(g.silver.where("is_valid").select(*_ARRIVED), ["event_fingerprint"]).select("event_fingerprint", "source_event_id", "kafka_offset"))
 _gold("category_levels", lambda g: g.silver.select("category_code", "category_l1", "category_l2", "category_l3").distinct())
 _gold("fingerprint", lambda g: g.silver.select("source_event_id", "event_fingerprint"))
 
 
 @_query
 def new_rows_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver = Gold(spark, sf_dir).silver.where("is_valid")
+    silver = Gold(spark, sf_dir).silver.where("is_valid").select(*_ARRIVED)
     fresh = clean.new_rows(clean.keep_latest(silver, ["event_fingerprint"]), silver.where(F.col("kafka_partition") == 0))
     return fresh.select("event_fingerprint", "source_event_id")
 
 
+@_query
+def refresh_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    silver = Gold(spark, sf_dir).silver.select("event_fingerprint", "is_valid", "kafka_partition")
+    return quality.refresh_counters(silver, silver.where("is_valid AND kafka_partition = 0"))
+
+
 # ---------------------------------------------------------------- star
 
 _gold("stg_events", lambda g: _plain(g.stg).drop("event_ts", "kafka_ts"))
@@ -109,6 +146,15 @@ def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.groupBy("is_weekend", "brand").agg(F.count(F.lit(1)).alias("sales"), fn.money(F.sum("gross_amount")).alias("revenue"), F.count_if("has_purchase").alias("with_purchase"), F.sum("total_events").alias("user_events"))
 
 
+@_query
+def sales_to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales with their events and the user of their session, by type and hour."""
+    g = Gold(spark, sf_dir)
+    wide = star.star_join(g.sales.select("event_fingerprint", "session_id", "gross_amount"), (g.events, "event_fingerprint", ["event_type", "time_id"]), (star.dim_session(g.events, g.sales), "session_id", ["user_id"]))
+    wide = star.star_join(wide, (star.dim_user(g.events, g.sales), "user_id", ["total_purchases"]))
+    return wide.groupBy("event_type", F.substring("time_id", 9, 2).alias("hour")).agg(F.count(F.lit(1)).alias("sales"), fn.money(F.sum("gross_amount")).alias("revenue"), F.sum("total_purchases").alias("user_purchases"))
+
+
 # ---------------------------------------------------------------- summaries
 
 _gold("revenue_by_date", lambda g: summaries.revenue_by_date(g.sales))
@@ -152,6 +198,11 @@ _gold("page_offset", lambda g: serving.page(g.daily("brand").select("event_date"
 _gold("column_totals", lambda g: serving.column_totals(g.daily("brand").select("brand", "view_count", "cart_count", "purchase_count", "revenue", "unique_users")))
 _gold("search_rows", lambda g: serving.search_all(g.daily("category").select("category_l1", "category_l2", "category_l3", "total_events").where("total_events > 2"), "standard"))
 _gold("top_revenue_rows", lambda g: serving.top(g.daily("product").select("summary_id", "revenue"), "revenue", 20, "summary_id"))
+_gold("top_revenue_categories", lambda g: serving.top(g.daily("category").select("summary_id", "revenue"), "revenue", 20, "summary_id"))
+_gold("top_revenue_brands", lambda g: serving.top(g.daily("brand").select("summary_id", "revenue"), "revenue", 20, "summary_id"))
+_gold("most_viewed_brand_month", lambda g: serving.top(serving.brands(serving.between_dates(g.daily("brand"), start="2024-01-01", end="2024-01-31"), True).select("brand", "views"), "views", 1, "brand"))
+_gold("event_totals", lambda g: g.events.rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_purchase").alias("purchases"), F.coalesce(fn.money(F.sum(F.when(F.col("is_purchase"), F.col("price")))), fn.money(0)).alias("gross")))
+_gold("brand_not_filter", lambda g: g.daily("brand").where(fn.ci_not_equals(F.col("brand"), " BRAND#1 ")).select("event_date", "brand", "view_count"))
 
 
 @_query
@@ -161,11 +212,12 @@ def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def lineitem_brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaderboard on the sales star: net price by brand in the latest month, best parts first."""
-    items = fx.table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    """The leaderboard on the sales star: items and net price by month and brand, in exact decimals."""
+    net = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    items = fx.table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", net.alias("net"))
     part = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     month = F.trunc("l_shipdate", "month")
-    return items.join(part, "l_partkey").groupBy(month.alias("month"), "p_brand").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("net"), 2).alias("net"))
+    return items.join(part, "l_partkey").groupBy(month.alias("month"), "p_brand").agg(F.count(F.lit(1)).alias("items"), F.sum("net").cast("decimal(18,2)").cast("double").alias("net"))
 
 
 # ---------------------------------------------------------------- profiles
@@ -260,6 +312,26 @@ def favourite_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", "user_id", "status", "latency_ms")
 
 
+@_query
+def failed_runs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a filtered listing with the listing's total."""
+    log = fx.query_log(spark, sf_dir).withColumn("question", F.concat(F.lit("Question "), F.col("run_id").cast("string")))
+    listing = logs.search_runs(log, ["failed"], "question 1").select("run_id", "user_id", "latency_ms")
+    return serving.with_total(serving.page(listing, 2, 10, F.col("run_id").desc()), listing)
+
+
+@_query
+def session_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    turns = fx.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), F.when(turn % 2 == 0, F.concat(F.lit("SELECT "), turn.cast("string"))).otherwise("").alias("sql"),
+        F.when(turn % 3 > 0, F.array(F.lit("event_date"), F.lit("total_revenue"))).otherwise(F.array().cast("array<string>")).alias("columns"),
+        F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: i * 100 + turn).alias("rows"),
+    )
+    found = logs.session_context(turns, "conv_id", "turn")
+    return found.select("conv_id", F.md5("conversation_summary").alias("summary"), F.md5("last_question").alias("last_question"), "last_sql", F.array_join("last_result_columns", ",").alias("last_columns"), F.array_join(F.transform("last_result_sample", lambda x: x.cast("string")), ",").alias("sample"))
+
+
 @_query
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.errors_by_class(fx.query_log(spark, sf_dir))
@@ -305,6 +377,21 @@ def fixed_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.fixed_window_limit(hits, "user_id", "created_at", 2, 86400, "run_id").drop("created_at")
 
 
+@_query
+def sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = logs.sliding_latency(fx.query_log(spark, sf_dir))
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), F.round("quantile", 6).alias("p95"))
+
+
+@_query
+def pipeline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fx.query_log(spark, sf_dir)
+    day = F.to_date("created_at").alias("day")
+    p95 = log.groupBy(day).agg(F.percentile(F.col("latency_ms") / 1000.0, 0.95).alias("p95"), (F.max("run_id") * 10).alias("stale_sec"))
+    found = logs.alerts(logs.run_counters(log, day).join(p95, "day"), F.col("p95"), F.col("stale_sec"))
+    return found.select("day", "high_error", "slow_p95", "stale")
+
+
 @_query
 def sliding_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = logs.sliding_error_rate(fx.query_log(spark, sf_dir))
@@ -314,16 +401,15 @@ def sliding_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- catalog
 
 
-def _entity_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: fx.table(spark, sf_dir, n) for n in ("events", "part", "documents", "orders", "customer")}
-
-
 @_query
 def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver tables' live schemas as a nested catalog."""
-    schemas = {n: d.schema for n, d in _entity_tables(spark, sf_dir).items()}
-    found = catalog.nested(catalog.table_catalog(spark, {f"stg_{n}": s for n, s in schemas.items()}), catalog.column_catalog(spark, {f"stg_{n}": s for n, s in schemas.items()}))
-    return found.select("table_name", F.concat_ws(",", F.col("columns.column_name")).alias("columns"), "n_columns")
+    """A nested catalog of live tables: columns with their nulls, and the rows of each table."""
+    live = {f"stg_{n}": fx.table(spark, sf_dir, n) for n in ("events", "part", "orders")}
+    schemas_ = {n: d.schema for n, d in live.items()}
+    found = catalog.nested(catalog.visible(catalog.table_catalog(spark, schemas_, hidden=())), catalog.column_catalog(spark, schemas_))
+    counted = reduce(DataFrame.unionByName, [profile.profile(d).select(F.lit(n).alias("table_name"), "column_name", "kind", "rows", "nulls") for n, d in live.items()])
+    nulls = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "column_name", "kind", F.col("nulls").cast("string")))), ",")
+    return found.join(counted.groupBy("table_name").agg(F.max("rows").alias("n_rows"), nulls.alias("columns_found")), "table_name").select("table_name", "n_columns", "n_rows", "columns_found")
 
 
 @_query

@@ -42,8 +42,10 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(n / 3).cast("bigint").alias("kafka_offset"),
         F.lit("2024-02-01 00:00:00").cast("timestamp").alias("ingested_at"),
     )
-    again = raw.where(n % 20 == 0).withColumn("kafka_offset", c("kafka_offset") + 1000000000).withColumn("ingested_at", F.lit("2024-02-02 00:00:00").cast("timestamp"))
-    return raw.unionByName(again).withColumn("date_partition", F.to_date("kafka_ts"))
+    raw = raw.withColumn("again", F.explode(F.when(n % 20 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    raw = raw.withColumn("kafka_offset", c("kafka_offset") + F.when(c("again"), 1000000000).otherwise(0))
+    raw = raw.withColumn("ingested_at", F.when(c("again"), F.lit("2024-02-02 00:00:00").cast("timestamp")).otherwise(c("ingested_at"))).drop("again")
+    return raw.withColumn("date_partition", F.to_date("kafka_ts"))
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +80,12 @@ SQL_TEXTS = [
 
 
 def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of eight kinds, with a literal, a comment and blanks that follow from the event."""
     texts = F.array(*[F.lit(t) for t in SQL_TEXTS])
-    return table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % 8).cast("int")).alias("sql_text"))
+    text = F.get(texts, (F.col("event_id") % 8).cast("int"))
+    word = F.when(F.col("event_id") % 3 == 0, F.initcap("event_type")).otherwise(F.col("event_type"))
+    tail = F.when(F.col("event_id") % 5 == 1, F.concat(F.lit(" WHERE event_type = '"), word, F.lit("'"))).when(F.col("event_id") % 5 == 2, F.concat(F.lit(" /* limit "), "event_type", F.lit(" */"))).when(F.col("event_id") % 5 == 3, " LIMIT 10 ;  ").otherwise("")
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("  "), text, tail).alias("sql_text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
