@@ -28,7 +28,7 @@ def category_depth(df: DataFrame, column: str = "category_code") -> DataFrame:
 def kinds(df: DataFrame) -> dict[str, list[str]]:
     """Column names by kind; a numeric column named like a date is of both kinds."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    time = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType)) or any(w in f.name.lower() for w in _TIME_WORDS)]
+    time = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) or any(w in f.name.lower() for w in _TIME_WORDS)]
     return {"numeric": numeric, "time": time, "categorical": [c for c in df.columns if c not in numeric and c not in time]}
 
 
