@@ -2,17 +2,21 @@
 
 1. Script ranges narrow the candidates of every word: a language stays a candidate if, in the
    labelled rows, at least ``SCRIPT_SHARE`` of its words use the word's script.  A script that no
-   language uses leaves all candidates and gives no evidence.
+   language uses leaves all candidates and gives no evidence.  Letters outside the named ranges
+   belong to one of ``OTHERS`` scripts by their block of code points.
 2. Each word gets a score per language, naive Bayes over its byte 3- and 4-grams with word ends.
 3. Viterbi over the words, with a switching penalty, labels spans of one language each.
 The predicted language is the one whose spans hold most bytes of words; the score is its share.
 
 The classifier is fitted on about ``sample_per_language`` rows per language (a documented bound,
-drawn by a hash of doc_id); at most ``MAX_LANGUAGES`` most frequent languages are learned.
+drawn by a hash of doc_id); every labelled language is learned, and a model holds a column of
+``2 * BUCKETS`` weights for each.
 
 Nulls and texts without a letter: ``und``, score 0.  A null ``lang`` teaches nothing; a null
 ``doc_id`` is in the training part.  Ties go to the alphabetically smaller language.  Repeated rows
 get equal results.  With no labelled row at all every text is ``und``.  Other columns are ignored.
+Very long texts are labelled whole, one at a time, in chunks of words that are joined exactly.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,6 @@ from pyspark.sql import functions as F
 from tidewater.llm.shared import Spans, parts, slices, utf8
 
 UND = "und"
-MAX_LANGUAGES = 64
 SCRIPT_SHARE = 0.005
 BUCKETS = 1 << 16
 CHUNK = 128
@@ -43,19 +45,27 @@ SCRIPTS = [
     ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x1080, 0x10FF), ("latin", 0x1E00, 0x1EFF),
     ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7BF), ("han", 0xF900, 0xFAFF),
 ]
-NAMES = list(dict.fromkeys(n for n, _, _ in SCRIPTS))
+OTHERS = 12
+NAMES = [*dict.fromkeys(n for n, _, _ in SCRIPTS), *[f"other{k}" for k in range(OTHERS)]]
 
 
 def _script_table() -> np.ndarray:
-    """Script bit by the first two bytes of a character; all ranges are multiples of 64."""
+    """Script bit by the first two bytes of a character; all ranges are multiples of 64.  Blocks of 64
+    (beyond the first plane 4,096) code points that hold letters and no named script are dealt to the others."""
     table = np.zeros(65536, np.uint32)
+    for first, last, step in ((0x0240, 0xD800, 64), (0xF900, 0x10000, 64), (0x10000, 0x30000, 4096)):
+        for point in range(first, last, step):
+            head = chr(point).encode()[:2]
+            here = slice(head[0] << 8, (head[0] << 8) + 256) if point < 0x0800 else head[0] << 8 | head[1]
+            if sum(chr(p).isalpha() for p in range(point, point + step, step // 64)) >= 16:
+                table[here] = 1 << NAMES.index(f"other{point // max(step, 128) % OTHERS}")
     for name, low, high in SCRIPTS:
         for point in range(low, high + 1, 64):
             head = chr(point).encode()[:2]
             if len(chr(point).encode()) == 2:
-                table[head[0] << 8 : (head[0] << 8) + 256] |= 1 << NAMES.index(name)
+                table[head[0] << 8 : (head[0] << 8) + 256] = 1 << NAMES.index(name)
             else:
-                table[head[0] << 8 | head[1]] |= 1 << NAMES.index(name)
+                table[head[0] << 8 | head[1]] = 1 << NAMES.index(name)
     for letter in [*range(65, 91), *range(97, 123)]:
         table[letter << 8 : (letter << 8) + 256] = 1 << NAMES.index("latin")
     return table
@@ -104,7 +114,7 @@ class LanguageModel:
 def fit(rows: DataFrame, sample_per_language: int = 3000) -> LanguageModel:
     """From ``doc_id, text, lang``; rows with a null lang are skipped."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()  # a row per language
     if not sizes:
         return LanguageModel([], np.zeros((2 * BUCKETS, 0), np.float32), np.zeros((0, 0), bool))
     draw = (F.xxhash64(F.lit("language"), "doc_id").cast("double") / float(1 << 64)) + 0.5
@@ -130,10 +140,13 @@ def fit(rows: DataFrame, sample_per_language: int = 3000) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "k", "n"])
 
     sample = rows.where(draw < share).select("lang", F.col("text").cast("string"))
-    counts = sample.mapInArrow(run, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique().tolist())
-    table = np.zeros((len(languages), 2 * BUCKETS + 32))
-    table[pd.Categorical(counts["lang"], languages).codes, counts["k"].to_numpy()] = counts["n"].to_numpy()
+    named = [r["lang"] for r in sizes]
+    counts = sample.mapInArrow(run, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    counts = counts.select((F.array_position(F.lit(named), F.col("lang")) - 1).cast("int").alias("i"), "k", "n").toArrow()
+    table = np.zeros((len(named), 2 * BUCKETS + 32))
+    table[counts["i"].to_numpy(), counts["k"].to_numpy()] = counts["n"].to_numpy()
+    seen = table.any(axis=1)
+    languages, table = [x for x, y in zip(named, seen.tolist(), strict=True) if y], table[seen]
     grams = table[:, : 2 * BUCKETS] + 0.5
     grams[:, 0] = grams[:, BUCKETS] = 1.0  # the place of positions without an n-gram
     half = [grams[:, :BUCKETS], grams[:, BUCKETS:]]
