@@ -1,19 +1,20 @@
 """Exact top-k by inner product over an index of pivots and distances.
 
-Vectors are augmented by one coordinate, sqrt(M^2 - |x|^2) with M the largest norm, which turns the
-largest inner products into the smallest Euclidean distances.  Each vector is keyed by its nearest
-pivot and its distance from it; sorted by that key, runs of at most ``block`` vectors of one pivot
-are *annuli* with a least and a largest distance.  By the triangle inequality a query at distance D
-from the pivot is no closer to a member of the annulus than max(D - largest, least - D).
+Vectors are moved by their mean, which changes all scores of a query alike, and augmented by one
+coordinate, sqrt(M^2 - |x|^2) with M the largest norm, which turns the largest inner products into the
+smallest Euclidean distances.  Each vector is keyed by its nearest pivot and its distance from it;
+sorted by that key, runs of at most ``block`` vectors of one pivot are *annuli*, with a least and a
+largest distance from every pivot.  By the triangle inequality a query at distance D from a pivot is no
+closer to a member of the annulus than max(D - largest, least - D), for each of the pivots.
 
 A query first visits the annuli of the least bounds (``seeds``), which gives its k-th score so far;
 it then expands to exactly those other annuli whose bound does not exclude a better or equal score.
 Annuli are the unit of work: their vectors and the queries that visit them meet in one task, which
-holds one annulus at a time and streams the queries past it.  A vector that a third of all rows
-repeat fills many annuli, dealt by range, not one task.
+holds one annulus at a time, scores it ``SCORED`` members at a time and streams the queries past it.  A
+vector that a third of all rows repeat fills many annuli, dealt by range, not one task.
 
 Pivots are a sample of at most ``pivots`` vectors; the directory of annuli has at most about
-``MAX_ANNULI + pivots`` entries (annuli grow with the table), so both are broadcast.
+``MAX_ANNULI + pivots`` entries of two numbers a pivot (annuli grow with the table), so both are broadcast.
 
 Nulls: a row whose id or vector is null, or that holds a null or non-finite component, takes no
 part.  Shorter vectors count as padded with zeros.  Rows with a query's id are its own; repeated
@@ -24,6 +25,7 @@ are exact below 2**53.  Other columns are ignored.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.shared import settled
 
-BLOCK = 1024
+BLOCK = 256
 MAX_ANNULI = 32768
+SCORED = 4096
 _PACK = 16  # queries sent in one row
 
 
@@ -67,31 +70,44 @@ def _distances(vectors: np.ndarray, last: np.ndarray, pivots: np.ndarray) -> np.
 
 
 class Index:
-    """``vectors``: table annulus, vec_id, v (settled); the directory and pivots are arrays."""
+    """``vectors``: table annulus, vec_id, v (settled); the directory (annulus, and by pivot least and
+    most), the pivots and the mean are arrays."""
 
-    def __init__(self, vectors: DataFrame, width: int, longest: float, pivots: np.ndarray, directory: dict[str, np.ndarray]):
-        self.vectors, self.width, self.longest, self.pivots, self.directory = vectors, width, longest, pivots, directory
+    def __init__(self, vectors: DataFrame, width: int, longest: float, pivots: np.ndarray, mean: np.ndarray, directory: dict[str, np.ndarray]):
+        self.vectors, self.width, self.longest, self.pivots, self.mean, self.directory = vectors, width, longest, pivots, mean, directory
 
 
 def build_index(vectors: DataFrame, pivots: int = 64, block: int = BLOCK) -> Index:
     """The index of ``vec_id, v``; every row is in it."""
     spark = vectors.sparkSession
     vectors = settled(vectors, "topk-vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, width, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(square)).first()
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not n:
-        return Index(vectors, 0, 0.0, np.zeros((0, 1)), {k: np.zeros(0) for k in ("annulus", "pivot", "least", "most")})
-    longest = float(np.sqrt(longest))
+        return Index(vectors, 0, 0.0, np.zeros((0, 1)), np.zeros(0), {k: np.zeros((0, 0)) for k in ("annulus", "least", "most")})
     block = max(block, -(-n // MAX_ANNULI))
-    sample = vectors.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).toArrow()["v"].combine_chunks()
-    chosen = _matrix(sample, width)
+    total = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    mean = np.zeros(width)
+    mean[total["i"].to_numpy()] = total["x"].to_numpy() / n
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(((_matrix(b.column(0), width) - mean) ** 2).sum(1).max(initial=0.0))])], ["s"])
+
+    longest = float(np.sqrt(vectors.select("v").mapInArrow(squares, "s double").agg(F.max("s")).first()[0])) * (1 + 1e-12)
+    hashed = F.xxhash64("v")  # one vector of each residue of the hash: distinct ones, combined before the shuffle
+    sample = vectors.groupBy(F.pmod(hashed, F.lit(pivots)).alias("r")).agg(F.min_by("v", F.struct(hashed, "v")).alias("v")).orderBy("r").toArrow()["v"].combine_chunks()
+    chosen = _matrix(sample, width) - mean
     chosen = np.concatenate([chosen, np.sqrt(np.maximum(longest**2 - (chosen**2).sum(1), 0))[:, None]], axis=1)
-    shared = spark.sparkContext.broadcast(chosen)
+    shared = spark.sparkContext.broadcast((chosen, mean))
+
+    def from_pivots(column: pa.Array) -> np.ndarray:
+        pivots_, mean_ = shared.value
+        v = _matrix(column, width) - mean_
+        return _distances(v, np.sqrt(np.maximum(longest**2 - (v**2).sum(1), 0)), pivots_)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column(1), width)
-            d = _distances(v, np.sqrt(np.maximum(longest**2 - (v**2).sum(1), 0)), shared.value)
+            d = from_pivots(b.column(1))
             near = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), b.column(0), b.column(1)], ["pivot", "distance", "vec_id", "v"])
 
@@ -113,14 +129,33 @@ def build_index(vectors: DataFrame, pivots: int = 64, block: int = BLOCK) -> Ind
     keyed = vectors.mapInArrow(key, "pivot int, distance double, vec_id long, v array<double>")
     ranged = keyed.repartitionByRange(max(1, min(-(-n // (4 * block)), 4096)), "pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
     stored = settled(ranged.mapInArrow(annuli, "annulus long, pivot int, distance double, vec_id long, v array<double>"), "topk-index")
-    listed = stored.groupBy("annulus", "pivot").agg(F.min("distance").alias("least"), F.max("distance").alias("most")).toPandas()
-    return Index(stored.select("annulus", "vec_id", "v"), width, longest, chosen, {k: listed[k].to_numpy() for k in ("annulus", "pivot", "least", "most")})
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Least and largest distances of the runs of annuli."""
+        for b in batches:
+            if b.num_rows:
+                annulus, d = b.column(0).to_numpy(zero_copy_only=False), from_pivots(b.column(1))
+                first = np.flatnonzero(np.concatenate(([True], annulus[1:] != annulus[:-1])))
+                sides = [np.minimum.reduceat(d, first, axis=0), np.maximum.reduceat(d, first, axis=0)]
+                offsets = pa.array(np.arange(0, len(first) * len(d[0]) + 1, len(d[0]), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(annulus[first]), *[pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in sides]], ["annulus", "least", "most"])
+
+    found = stored.select("annulus", "v").mapInArrow(ranges, "annulus long, least array<double>, most array<double>").toArrow().combine_chunks()
+    name, of = np.unique(found["annulus"].to_numpy(), return_inverse=True)
+    directory = {"annulus": name, "least": np.full((len(name), len(chosen)), np.inf), "most": np.zeros((len(name), len(chosen)))}
+    for k, take in (("least", np.minimum), ("most", np.maximum)):
+        take.at(directory[k], of, _matrix(found[k].combine_chunks(), len(chosen)))
+    return Index(stored.select("annulus", "vec_id", "v"), width, longest, chosen, mean, {k: v.astype(np.float32) if k != "annulus" else v for k, v in directory.items()})
 
 
 def _bounds(index: dict, v: np.ndarray) -> np.ndarray:
     """No member of an annulus (column) is closer to a query (row) than this."""
-    d = _distances(v, np.zeros(len(v)), index["pivots"])[:, index["pivot"].astype(np.int64)]
-    return np.maximum(np.maximum(d - index["most"][None, :], index["least"][None, :] - d), 0.0)
+    d = _distances(v, np.zeros(len(v)), index["pivots"]).astype(np.float32)
+    out = np.zeros((len(v), len(index["annulus"])), np.float32)
+    for p in range(d.shape[1]):
+        np.maximum(out, d[:, p, None] - index["most"][None, :, p], out=out)
+        np.maximum(out, index["least"][None, :, p] - d[:, p, None], out=out)
+    return out
 
 
 _VISIT = "annulus long, queries array<long>, own array<long>, floors array<double>, qv array<double>"
@@ -130,7 +165,7 @@ def _visits(queries: DataFrame, index: Index, seeds: int, expand: bool) -> DataF
     """Rows that send up to 16 queries to an annulus.  First the ``seeds`` of the least bounds; to
     ``expand``, all others whose bound does not exclude a score of at least the query's floor."""
     spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast({**index.directory, "pivots": index.pivots})
+    shared = spark.sparkContext.broadcast({**index.directory, "pivots": index.pivots, "mean": index.mean})
     width, longest = index.width, index.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +175,15 @@ def _visits(queries: DataFrame, index: Index, seeds: int, expand: bool) -> DataF
                 part = b.slice(lo, 256)
                 uid, own, v = (part.column(i).to_numpy(zero_copy_only=False) if i < 2 else _matrix(part.column(i), width) for i in range(3))
                 floor = np.array([-np.inf if x is None else x for x in part.column(3).to_pylist()])
-                bound = _bounds(d, v)
+                norm = np.sqrt((v**2).sum(1))
+                scale = np.where(norm > 0, longest / np.maximum(norm, 1e-300), 1.0)  # keeps the order, and puts the query on the sphere
+                bound = _bounds(d, v * scale[:, None])
                 first = np.argsort(bound, axis=1, kind="stable")[:, :seeds]
                 chosen = np.zeros(bound.shape, bool)
                 np.put_along_axis(chosen, first, True, axis=1)
                 if expand:
-                    # a score s is at squared distance |q|^2 + M^2 - 2 s
-                    reach = np.sqrt(np.maximum((v**2).sum(1) + longest**2 - 2 * floor, 0.0)) * (1 + 1e-9) + 1e-6
+                    # what scores s has the product s - q mean with q, and is at squared distance |q|^2 + M^2 - 2 (s - q mean)
+                    reach = np.sqrt(np.maximum((norm * scale) ** 2 + longest**2 - 2 * scale * (floor - v @ d["mean"]), 0.0)) * (1 + 1e-5) + 1e-3
                     chosen = ~chosen & (bound <= reach[:, None])
                 rows = []
                 for a in np.flatnonzero(chosen.any(axis=0)).tolist():
@@ -175,13 +212,14 @@ def _scored(visits: DataFrame, index: Index, k: int) -> DataFrame:
     asked = visits.select("annulus", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.col("qv").alias("v"), "queries", "own", "floors")
     both = data.unionByName(asked).repartition("annulus").sortWithinPartitions("annulus", "kind", "vec_id", "v")
 
-    def best(here: int, ids: np.ndarray, v: np.ndarray, b: pa.RecordBatch, rows: list[int]) -> Iterator[pa.RecordBatch]:
+    def best(here: int, all_ids: np.ndarray, v: np.ndarray, b: pa.RecordBatch, rows: list[int]) -> Iterator[pa.RecordBatch]:
         uid = np.concatenate([np.array(b.column(4)[i].as_py(), np.int64) for i in rows])
         own = np.concatenate([np.array(b.column(5)[i].as_py(), np.int64) for i in rows])
         floor = np.concatenate([np.array(b.column(6)[i].as_py(), np.float64) for i in rows])
         q = np.concatenate([b.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(-1, width) for i in rows])
-        for lo in range(0, len(uid), 512):
-            score = q[lo : lo + 512] @ v.T
+        for lo, at0 in itertools.product(range(0, len(uid), 512), range(0, len(all_ids), SCORED)):
+            ids = all_ids[at0 : at0 + SCORED]
+            score = q[lo : lo + 512] @ v[at0 : at0 + SCORED].T
             score[own[lo : lo + 512, None] == ids[None, :]] = -np.inf
             m = min(k, len(ids))
             order = np.argsort(-score, axis=1, kind="stable")[:, :m]  # members are in the order of their ids
@@ -190,7 +228,7 @@ def _scored(visits: DataFrame, index: Index, k: int) -> DataFrame:
             at, j = np.nonzero(good)
             if len(at):
                 place = order[at, j]
-                made = [uid[lo + at], ids[place], top[at, j].astype(np.int64), np.full(len(at), here, np.int64), place.astype(np.int64)]
+                made = [uid[lo + at], ids[place], top[at, j].astype(np.int64), np.full(len(at), here, np.int64), at0 + place.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["uid", "vec_id", "score", "annulus", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
