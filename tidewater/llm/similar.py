@@ -1,16 +1,21 @@
 """Texts linked at an exact Jaccard similarity of their distinct word shingles.
 
 Candidates: ``ROWS * BANDS`` minimum hashes of a text's shingle set; two texts are candidates if they
-agree on all minima of a band.  Beside each key goes a sketch of one bit per minimum (of the first
-``SKETCH``), whose expected share of differing bits is (1 - J) / 2.  At J = 0.8 a pair shares no band
-with probability (1 - 0.8**6)**48 = 5e-7 and exceeds ``APART`` bits with about 1e-8; both fall for higher J.
+agree on all minima of a band.  Beside each key go two sketches.  One has a bit per minimum (of
+``SKETCH``), whose expected share of differing bits is (1 - J) / 2.  The other has ``ODD`` bits, each the
+parity of the shingles that fall on it: the bits in which two texts differ come from the shingles that
+only one of them has, so small texts just below the threshold are told apart almost exactly.  At J = 0.8
+a pair shares no band with probability (1 - 0.8**5)**30 = 7e-6, exceeds ``APART`` bits with about 1e-8 and
+four deviations of the parities with 3e-5; all fall for higher J.
 
 Links: a candidate counts only if the Jaccard similarity of the two shingle sets (64-bit hashes) reaches the
 threshold.  A text of equal shingles is one node, so copies are never paired.  A first pass verifies
 up to ``FIRST`` of the closest candidates of a node, found near it in its bands; what that joins goes
-by one name, and a second pass verifies all candidates that still join different names, so
-components are those of all candidates' links.  Large bands are dealt in blocks: a member that does not have the band's
-most frequent name goes to all blocks of the band, the others to one.
+by one name.  ``CLOSEST`` further passes verify, of each node and part of a band, the ``FIRST`` closest
+candidates of other names, which joins a large group of near copies to the text that they vary.  The last
+pass verifies all candidates that still join different names, so components are those of all
+candidates' links.  Large bands are dealt in blocks: a member that does not have the band's most frequent
+name goes to all blocks of the band, the others to one.
 
 Nulls and empty texts have the empty set and are alike.  An empty table gives an empty result.
 """
@@ -27,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.shared import parts, settled, slices, utf8
 
-ROWS, BANDS, SKETCH, APART = 6, 48, 256, 56
-FIRST, LAGS, BLOCK = 4, 8, 1024
-_WORDS = [f"f{k}" for k in range(SKETCH // 64)]
+ROWS, BANDS, SKETCH, APART, ODD = 5, 30, 256, 56, 512
+FIRST, LAGS, BLOCK, CLOSEST = 4, 8, 1024, 1
+_WORDS = [f"f{k}" for k in range((SKETCH + ODD) // 64)]
 _MEMBER = "n long, " + ", ".join(f"{c} long" for c in _WORDS)
 
 
@@ -61,25 +66,28 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, BANDS) keys and (texts, SKETCH / 64) words of bits."""
-    rng = np.random.default_rng(11)
-    times = rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    plus = rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
-    least = np.full((len(sets), ROWS * BANDS), 0xFFFFFFFF, np.uint32)
+    """(texts, BANDS) keys and (texts, (SKETCH + ODD) / 64) words of bits."""
+    rng, hashes = np.random.default_rng(11), max(ROWS * BANDS, SKETCH)
+    times = rng.integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    plus = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)
+    least = np.full((len(sets), hashes), 0xFFFFFFFF, np.uint32)
+    odd = np.zeros((len(sets), ODD), np.uint8)
     filled = [i for i, s in enumerate(sets) if len(s)]
     if filled:
         flat = np.concatenate([sets[i] for i in filled])
         x = (_mixed(flat) >> np.uint64(32)).astype(np.uint32)
         count = np.array([len(sets[i]) for i in filled])
         begin = np.cumsum(count) - count
-        for k in range(ROWS * BANDS):
+        place = np.repeat(np.array(filled) * ODD, count) + (_mixed(flat ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(ODD)).astype(np.int64)
+        odd = (np.bincount(place, minlength=odd.size) & 1).astype(np.uint8).reshape(odd.shape)
+        for k in range(hashes):
             least[filled, k] = np.minimum.reduceat(x * times[k] + plus[k], begin)
     key = np.zeros((len(sets), BANDS), np.uint64)
     for j in range(ROWS):
-        key = _mixed((key * np.uint64(3)) ^ least[:, j::ROWS].astype(np.uint64))
+        key = _mixed((key * np.uint64(3)) ^ least[:, j : ROWS * BANDS : ROWS].astype(np.uint64))
     key = np.arange(BANDS, dtype=np.uint64)[None, :] << np.uint64(57) | key >> np.uint64(7)
     bit = (least[:, :SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return key, np.packbits(bit.astype(np.uint8), axis=1).view(np.uint64)
+    return key, np.packbits(np.concatenate([bit.astype(np.uint8), odd], axis=1), axis=1).view(np.uint64)
 
 
 def _longs(columns: list[np.ndarray]) -> list[pa.Array]:
@@ -106,8 +114,13 @@ def _sketched(docs: DataFrame, shingle: int, carry: tuple[str, ...]) -> DataFram
 
 def _near(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs may reach the threshold, and their differing bits."""
-    d = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
-    return (d <= APART) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])), d
+    apart = np.bitwise_count(bits[i] ^ bits[j])
+    d, odd = apart[:, : SKETCH // 64].sum(axis=1).astype(np.int64), apart[:, SKETCH // 64 :].sum(axis=1)
+    own = (n[i] + n[j]) * ((1 - least) / (1 + least))  # shingles that only one has, at the threshold
+    two, four = (1 - 2 / ODD) ** own, (1 - 4 / ODD) ** own
+    spread = np.sqrt(np.maximum(ODD / 4 * (1 - four) + ODD**2 / 4 * (four - two**2), 0.0))
+    few = odd <= ODD / 2 * (1 - two) + 4 * spread + 1
+    return few & (d <= APART) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])), d
 
 
 def _bands(least: float):
@@ -153,17 +166,19 @@ def _bands(least: float):
     return run, f"kind byte, key long, a long, b long, {_MEMBER}"
 
 
-def _crossing(least: float):
+def _crossing(least: float, most: int | None):
     """Over rows part, key, own, minor, node, name, n, bits sorted by part and key: pairs a > b of
-    a minor member with an own member of another name."""
+    a minor member with an own member of another name, or with the ``most`` closest of them."""
 
     def pairs(g: np.ndarray) -> Iterator[pa.RecordBatch]:
         own, minor = np.flatnonzero(g[:, 2]), np.flatnonzero(g[:, 3])
         node, name, n, bits = g[:, 4], g[:, 5], g[:, 6], np.ascontiguousarray(g[:, 7:]).view(np.uint64)
         for m in minor.tolist():
             j = own[name[own] != name[m]]
-            good, _ = _near(n, bits, np.full(len(j), m), j, least)
+            good, d = _near(n, bits, np.full(len(j), m), j, least)
             other = node[j[good]]
+            if most is not None and len(other) > most:
+                other = other[np.lexsort((other, d[good]))[:most]]
             if len(other):
                 yield pa.RecordBatch.from_arrays(_longs([np.maximum(other, node[m]), np.minimum(other, node[m])]), ["a", "b"])
 
@@ -227,19 +242,24 @@ def classes(docs: DataFrame, shingle: int, jaccard: float, carry: tuple[str, ...
     nearest = Window.partitionBy("a").orderBy("d", F.xxhash64("a", "b"), "b")
     links = verified(near.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= FIRST), docs, rows, shingle, jaccard)
     roots = components(links)
-    # all others between what is not yet joined
-    member = found.where("kind = 1").select("key", F.col("a").alias("node"), "n", *_WORDS)
-    member = member.join(roots, "node", "left").withColumn("name", F.coalesce("root", "node")).drop("root")
-    member = settled(member, "similar-members")
-    each = member.groupBy("key", "name").count().groupBy("key")
-    mixed = each.agg(F.max(F.struct("count", "name"))["name"].alias("most"), F.sum("count").alias("m"), F.count(F.lit(1)).alias("names")).where("names > 1")
-    dealt = member.join(mixed.select("key", "most", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    minor = F.col("name") != F.col("most")
-    dealt = dealt.withColumn("mine", mine).withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))))
-    dealt = dealt.select(F.col("block").cast("long").alias("part"), "key", (F.col("block") == F.col("mine")).cast("long").alias("own"), minor.cast("long").alias("minor"), "node", "name", "n", *_WORDS)
-    run, schema = _crossing(jaccard)
-    crossing = dealt.repartition("key", "part").sortWithinPartitions("part", "key").mapInArrow(run, schema)
-    more = verified(crossing, docs, rows, shingle, jaccard)
-    roots = components(links.unionByName(more))
+    # what lies between names that are not yet joined: the closest first, then all
+    every = found.where("kind = 1").select("key", F.col("a").alias("node"), "n", *_WORDS)
+    for most in (*[FIRST] * CLOSEST, None):
+        member = every.join(roots, "node", "left").withColumn("name", F.coalesce("root", "node")).drop("root")
+        member = settled(member, "similar-members")
+        each = member.groupBy("key", "name").count().groupBy("key")
+        mixed = each.agg(F.max(F.struct("count", "name"))["name"].alias("most"), F.sum("count").alias("m"), F.count(F.lit(1)).alias("names")).where("names > 1")
+        dealt = member.join(mixed.select("key", "most", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        minor = F.col("name") != F.col("most")
+        dealt = dealt.withColumn("mine", mine).withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))))
+        dealt = dealt.select(F.col("block").cast("long").alias("part"), "key", (F.col("block") == F.col("mine")).cast("long").alias("own"), minor.cast("long").alias("minor"), "node", "name", "n", *_WORDS)
+        every = member.join(mixed.select("key"), "key", "left_semi").drop("name")
+        run, schema = _crossing(jaccard, most)
+        crossing = dealt.repartition("key", "part").sortWithinPartitions("part", "key").mapInArrow(run, schema)
+        more = verified(crossing, docs, rows, shingle, jaccard)
+        if more.isEmpty() and most is not None:
+            continue
+        links = settled(links.unionByName(more), "similar-all")
+        roots = components(links)
     return rows.join(roots, "node", "left").select(*carry, F.coalesce("root", "node").alias("root"))
