@@ -56,7 +56,7 @@ def test_all_pairs_just_above_the_threshold_are_found(spark):
     rng, texts, like = np.random.default_rng(2), {}, {}
     for k in range(240):
         first = words(rng, int(rng.choice([50, 60, 200, 1000])))
-        pair = {2 * k: " ".join(first), 2 * k + 1: " ".join(changed(rng, first, int(rng.choice([20, 35]))))}
+        pair = {2 * k: " ".join(first), 2 * k + 1: " ".join(changed(rng, first, int(rng.choice([20, 60]))))}
         texts |= pair
         like |= exact(pair, 0.0)[0]
     ids = kept(spark, texts)
