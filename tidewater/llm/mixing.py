@@ -1,20 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
 Documents of a source are numbered in the order of md5(doc_id) and cut into blocks of ``block``
-documents.  Time runs in slots of one block.  The target is the fluid schedule: every source that has
-blocks left progresses in proportion to its weight, and when one is used up the others go on at
-their weights among themselves.
-
-Slots are planned in *periods* of at most ``quantum``, with an end where a source is used up.  At the end of each, a source has the blocks that are
-due in the fluid schedule by then, and of the blocks begun there as many as there are slots left, those
-due first; so every source is less than one block from its target at the end of every period, however
-many there are, and a source may have no block in one.  Within a period of Q slots a source
-with quota p of them has its j-th block (from 0) released at floor(j Q / p) and due at
-ceil((j + 1) Q / p); earliest deadline first among the released blocks keeps every source less than one
-block from p / Q of the slots passed, so less than two from its target at every slot.
+documents (an odd number above one counts as the even one below), each scheduled as two halves (a block
+of one document as one).  Time runs in slots of a
+half block.  The target is the fluid schedule: every source that has documents left progresses in
+proportion to its weight, and when one is used up the others go on at their weights among themselves.
+
+Slots are planned in *periods* of at most ``quantum``, with an end where a source is used up.  At the end
+of each, a source has the halves that are due in the fluid schedule by then, and of those begun there as
+many as there are slots left, those due first; so every source is less than one half from its target at
+the end of every period, however many there are, and a source may have no half in one.  Within a period
+of Q slots a source with quota p of them has its j-th half (from 0) released at floor(j Q / p) and due at
+ceil((j + 1) Q / p); earliest deadline first among the released halves keeps every source less than one
+half from p / Q of the slots passed.  The two together are less than two halves: **every source is less
+than one block from its target at every slot**.
 
 Nothing is dropped or repeated.  Consecutive periods of equal quotas are one row per source in the plan,
-which has at most a row per block; it is joined by block, and broadcast up to ``BROADCAST_BYTES``.
+which has at most a row per half block; it is joined by half, and broadcast up to ``BROADCAST_BYTES``.
 
 Numbering is by shards of the md5 order: counts per (source, shard), their running sums, and row
 numbers within a shard, so a source with a third of all rows is numbered by many tasks.
@@ -34,7 +36,7 @@ BLOCK = 32
 QUANTUM = 1000
 SHARD_ROWS = 8192
 BROADCAST_BYTES = 32 << 20
-ADDED = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
+ADDED = ("mix_block", "mix_half", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 
 
 def _source_key(source: str) -> Column:
@@ -118,8 +120,8 @@ def deadline_order(plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = BLOCK, quantum: int = QUANTUM, source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the block's number within its source, its slot, release and deadline, and the
-    row's position; ascending positions are the mixture.
+    """``docs`` with the block's number within its source, which half of it the row is in, that half's
+    slot, release and deadline, and the row's position; ascending positions are the mixture.
 
     ``weights``: by source (a null source is the key None); a source without one gets the least.
     Without weights, a source's weight is its number of rows to the power ``alpha``.
@@ -134,7 +136,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         target = {s: named.get(s, least) for s in totals}
     else:
         target = {s: float(n) ** alpha for s, n in totals.items()}
-    plan_rows = plan_periods({s: -(-n // block) for s, n in totals.items()}, target, quantum)
+    half, per_block = max(1, block // 2), min(2, block)
+    plan_rows = plan_periods({s: -(-n // half) for s, n in totals.items()}, target, quantum)
     schema = "phase long, first_slot long, period long, repeats long, src string, quota long, first_block long"
     plan = deadline_order(spark.createDataFrame(plan_rows, schema))
 
@@ -147,7 +150,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     bases = sizes.select("__src", "__shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy("__src", "__shard").orderBy("__h", id_col, F.xxhash64(*names))
     numbered = keyed.withColumn("__n", F.row_number().over(within)).join(bases, ["__src", "__shard"])
-    numbered = numbered.withColumn("__n", F.col("__base") + F.col("__n") - 1).withColumn("mix_block", F.floor(F.col("__n") / block))
+    numbered = numbered.withColumn("__n", F.col("__base") + F.col("__n") - 1).withColumn("__half", F.floor(F.col("__n") / half))
 
     plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns if c != "phase"])  # no name of the input meets one used here
     last = F.col("__p_first_block") + F.col("__p_quota") * F.col("__p_repeats")
@@ -156,15 +159,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     each = each.withColumn("__p_at", F.get("__p_slots", within.cast("int"))).drop("__p_slots", "__p_repeats")
     if sum(r["quota"] * r["repeats"] for r in plan_rows) * 64 <= BROADCAST_BYTES:
         each = F.broadcast(each)
-    joined = numbered.join(each, (F.col("__src") == F.col("__p_src")) & (F.col("mix_block") == F.col("__p_k")))
-    j = F.col("mix_block") - F.col("__p_first_block")
+    joined = numbered.join(each, (F.col("__src") == F.col("__p_src")) & (F.col("__half") == F.col("__p_k")))
+    j = F.col("__half") - F.col("__p_first_block")
     at = F.col("__p_at")
     slot = F.col("__p_first_slot") + F.floor(j / F.col("__p_quota")) * F.col("__p_period") + at
     return joined.select(
         *names,
-        F.col("mix_block").cast("long").alias("mix_block"),
+        F.floor(F.col("__half") / per_block).cast("long").alias("mix_block"),
+        (F.col("__half") % per_block).cast("int").alias("mix_half"),
         slot.cast("long").alias("mix_slot"),
         (F.col("__p_first_slot") + F.floor(j * F.col("__p_period") / F.col("__p_quota"))).cast("long").alias("mix_release"),
         (F.col("__p_first_slot") + F.ceil((j + 1) * F.col("__p_period") / F.col("__p_quota"))).cast("long").alias("mix_deadline"),
-        (slot * block + F.col("__n") % block).cast("long").alias("mix_position"),
+        (slot * half + F.col("__n") % half).cast("long").alias("mix_position"),
     )
