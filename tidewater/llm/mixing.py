@@ -91,32 +91,31 @@ def plan_periods(blocks: dict[str, int], weights: dict[str, float], quantum: int
     return rows
 
 
-def deadline_order(plan: DataFrame) -> DataFrame:
-    """Adds ``slots``: the slot within the period of each of the source's quota of blocks, by
-    earliest deadline first over one period."""
-    each = plan.groupBy("phase", "period").agg(F.sort_array(F.collect_list(F.struct("src", "quota"))).alias("s"))
-    quota = F.col("s.quota")
-
-    def step(state: Column, t: Column) -> Column:
-        done = state["done"]
-        ready = F.transform(
-            done,
-            lambda d, i: F.when(
-                (d < F.get(quota, i)) & (F.floor(d * F.col("period") / F.get(quota, i)) <= t),
-                F.struct(F.ceil((d + 1) * F.col("period") / F.get(quota, i)).alias("due"), i.alias("i")),
-            ),
-        )
-        pick = F.array_min(ready)["i"]
-        return F.struct(
-            F.transform(done, lambda d, i: F.when(i == pick, d + 1).otherwise(d)).alias("done"),
-            F.concat(state["order"], F.array(pick)).alias("order"),
-        )
-
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order"))
-    run = F.aggregate(F.sequence(F.lit(0), F.col("period").cast("int") - 1), start, step, lambda s: s["order"])
-    taken = each.select("phase", "s", F.posexplode(run).alias("t", "i"))
-    taken = taken.select("phase", F.get(F.col("s.src"), F.col("i")).alias("src"), "t")
-    return plan.join(taken.groupBy("phase", "src").agg(F.sort_array(F.collect_list("t")).alias("slots")), ["phase", "src"])
+def deadline_order(plan: DataFrame, parts: int) -> DataFrame:
+    """Adds ``slots``: the slot within the period of each of the source's quota of halves, by earliest
+    deadline first over one period.
+
+    Units of one slot that start at once when released: the schedule follows from taking them by
+    deadline, each into the first free slot from its release on, as no later one can delay it.
+    """
+    row = F.struct("src", "quota", "first_slot", "repeats", "first_block")
+    each = plan.repartition(parts, "phase").groupBy("phase", "period").agg(F.sort_array(F.collect_list(row)).alias("s"))
+
+    def units(x: Column, i: Column) -> Column:
+        due = lambda d: F.ceil((d + 1) * F.col("period") / x["quota"])
+        released = lambda d: F.floor(d * F.col("period") / x["quota"])
+        return F.transform(F.sequence(F.lit(0), x["quota"] - 1), lambda d: F.struct(due(d).alias("due"), i.alias("i"), released(d).alias("at")))
+
+    def place(state: Column, unit: Column) -> Column:
+        slot = F.position(F.lit("0"), state["free"], (unit["at"] + 1).cast("int"))
+        return F.struct(F.overlay(state["free"], F.lit("1"), slot, F.lit(1)).alias("free"), F.concat(state["slots"], F.array(slot - 1)).alias("slots"))
+
+    each = each.withColumn("units", F.sort_array(F.flatten(F.transform("s", units))))
+    start = F.struct(F.repeat(F.lit("0"), F.col("period").cast("int")).alias("free"), F.array().cast("array<int>").alias("slots"))
+    each = each.withColumn("taken", F.arrays_zip(F.col("units.i").alias("i"), F.aggregate("units", start, place, lambda x: x["slots"]).alias("t")))
+    each = each.select("phase", "period", "taken", F.posexplode("s").alias("i", "x"))
+    slots = F.transform(F.filter("taken", lambda u: u["i"] == F.col("i")), lambda u: u["t"])
+    return each.select("phase", "period", "x.*", slots.alias("slots"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block: int = BLOCK, quantum: int = QUANTUM, source: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -139,7 +138,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     half, per_block = max(1, block // 2), min(2, block)
     plan_rows = plan_periods({s: -(-n // half) for s, n in totals.items()}, target, quantum)
     schema = "phase long, first_slot long, period long, repeats long, src string, quota long, first_block long"
-    plan = deadline_order(spark.createDataFrame(plan_rows, schema))
+    phases = plan_rows[-1]["phase"] + 1 if plan_rows else 1
+    plan = deadline_order(spark.createDataFrame(plan_rows, schema), parts=-(-phases // 8))
 
     digits = 1
     while max(totals.values(), default=0) > SHARD_ROWS * 16**digits:
