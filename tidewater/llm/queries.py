@@ -108,8 +108,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds over 16 centroids."""
+    from tidewater.llm import centroids
+
+    return centroids.cluster(centroids.integer_vectors(_table(spark, sf_dir, "embeddings"), scale=64, size=64), k=16, rounds=3, seed=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op5_chat, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op5_chat, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash, op11_centroids)}
+
+
+def _rounds(n: int) -> str:
+    """The clustering as SQL: a pair of relations for each round."""
+    nearest = """a{r} AS (
+                SELECT v.id, v.vec_id, v.v, arg_min(c.j, (list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c.j)) AS j,
+                       min(list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) AS distance
+                FROM v, c{r} c GROUP BY ALL
+            )"""
+    move = """, s{r} AS (
+                SELECT j, d, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{p}) GROUP BY j, d
+            ), c{r} AS (
+                SELECT j, coalesce(m.c, c.c) AS c FROM c{p} c
+                LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY d) AS c FROM s{r} GROUP BY j) m USING (j)
+            ), """
+    return (
+        """WITH v AS MATERIALIZED (
+                SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), c0 AS (
+                SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM v WHERE vec_id IS NOT NULL
+                ORDER BY sha256('1:' || vec_id), v LIMIT 16
+            ), """
+        + "".join(nearest.format(r=r) + (move.format(r=r + 1, p=r) if r < n else "") for r in range(n + 1))
+        + f"""
+            SELECT vec_id, j::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY j)::BIGINT AS cluster_inertia,
+                   sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+            FROM a{n} JOIN c{n} USING (j)"""
+    )
 
 
 def oracle_sql() -> dict[str, str]:
@@ -137,4 +173,5 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
             FROM s QUALIFY rank <= 5""",
+        "op11_centroids": _rounds(3),
     }

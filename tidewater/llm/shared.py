@@ -49,16 +49,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            drop_folder(spark, path)
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``shared_dir`` made."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(df: DataFrame, what: str, with_path: bool = False) -> DataFrame | tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back: the lineage ends there, and executors
-    that are lost later do not cause earlier stages to run again."""
+    that are lost later do not cause earlier stages to run again.  On demand with its folder."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (read, path) if with_path else read
 
 
 def utf8(column: pa.Array) -> list[bytes]:
