@@ -115,8 +115,20 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(centroids.integer_vectors(_table(spark, sf_dir, "embeddings"), scale=64, size=64), k=16, rounds=3, seed=1)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; labels are learned from rows that are not held out."""
+    from tidewater.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where("not held_out").join(labels, "doc_id"))
+    found = toxicity.score(docs, model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op5_chat, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash, op11_centroids)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op5_chat, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash, op11_centroids, op13_toxicity)}
 
 
 def _rounds(n: int) -> str:
