@@ -122,7 +122,9 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where("not held_out").join(labels, "doc_id"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    drawn, sizes = toxicity.draw_labels(labels.where(~held))
+    model = toxicity.fit(docs.join(F.broadcast(drawn), "doc_id"), sizes=sizes)  # about 12,000 ids
     found = toxicity.score(docs, model, ["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 

@@ -198,7 +198,7 @@ def _unit_counts(sample: DataFrame, max_units: int) -> dict[str, np.ndarray]:
     return {c: table[c].to_numpy() for c in table.column_names}
 
 
-def _scored_sample(sample: DataFrame, models: list[Model]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _scored_sample(sample: DataFrame, models: list[Model], limit: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Histogram of clean tokens, and each document's label, half, words and best segments, from the other half's model."""
     shared = sample.sparkSession.sparkContext.broadcast(models)
     bins = int(2 * TOP / STEP) + 1
@@ -220,7 +220,7 @@ def _scored_sample(sample: DataFrame, models: list[Model]) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(bins) + 2), pa.array(histogram), pa.array([None] * bins, pa.list_(pa.float64()))], ["k", "n", "scores"])
 
     found = sample.mapInArrow(run, "k long, n long, scores array<double>")
-    documents = found.where("k < 2").toArrow()  # at most a sample of each label
+    documents = found.where("k < 2").limit(limit).toArrow()
     tokens = found.where("k >= 2").groupBy("k").agg(F.sum("n")).collect()
     histogram = np.zeros(bins)
     for k, n in tokens:
@@ -252,16 +252,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(rows: DataFrame, sample_per_label: int = 6000, max_units: int = MAX_UNITS) -> Model:
-    """From ``doc_id, text, toxic``."""
-    rows = rows.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+def draw_labels(labels: DataFrame, sample_per_label: int = 6000) -> tuple[DataFrame, dict[int, int]]:
+    """About ``sample_per_label`` rows of each label of ``doc_id, toxic``, and the sizes of the labels: what is drawn is
+    small enough to be broadcast to the documents, so that no text is shuffled."""
+    labels = labels.where(F.col("toxic").isin(0, 1)).withColumn("toxic", F.col("toxic").cast("int"))
+    sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, sample_per_label / sizes.get(1, 1)).otherwise(sample_per_label / sizes.get(0, 1))
+    return labels.where(F.xxhash64(F.lit("toxicity"), "doc_id").cast("double") / float(1 << 64) + 0.5 < share), sizes
+
+
+def fit(rows: DataFrame, sample_per_label: int = 6000, max_units: int = MAX_UNITS, sizes: dict[int, int] | None = None) -> Model:
+    """From ``doc_id, text, toxic``: all rows, or with ``sizes`` those drawn by ``draw_labels``."""
+    if sizes is None:
+        rows, sizes = draw_labels(rows, sample_per_label)
     if len(sizes) < 2:
         return Model(constant=sizes.get(1, 0) / (sum(sizes.values()) + 1))
-    h = F.xxhash64(F.lit("toxicity"), "doc_id")
-    draw = h.cast("double") / float(1 << 64) + 0.5
-    share = F.when(F.col("toxic") == 1, sample_per_label / sizes[1]).otherwise(sample_per_label / sizes[0])
-    sample = rows.where(draw < share).select("text", "toxic", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    sample = rows.select(F.col("text").cast("string"), F.col("toxic").cast("int"), half.alias("half"))
     counts = _unit_counts(sample, max_units)
     base = min(max(min(sizes[1], sample_per_label) / (min(sizes[1], sample_per_label) + min(sizes[0], sample_per_label)), 1e-3), 1 - 1e-3)
 
@@ -269,7 +276,7 @@ def fit(rows: DataFrame, sample_per_label: int = 6000, max_units: int = MAX_UNIT
         toxic, clean = (sum(counts[f"{c}{i}"] for i in halves) for c in "tc")
         return Model(*_table(counts["unit"], counts["parent"], counts["kind"], toxic, clean, base)) if len(counts["unit"]) else Model()
 
-    histogram, found = _scored_sample(sample, [table(0), table(1)])
+    histogram, found = _scored_sample(sample, [table(0), table(1)], 4 * sample_per_label)
     model = table(0, 1)
     model.scale = extreme_scale(histogram)
     clean = [(max(s), n) for t, n, s in zip(found["toxic"], found["n"], found["scores"], strict=True) if t == 0 and s]
