@@ -115,6 +115,14 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(centroids.integer_vectors(_table(spark, sf_dir, "embeddings"), scale=64, size=64), k=16, rounds=3, seed=1)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt on the first turns of their family's."""
+    from tidewater.llm import prefix_trie
+
+    turns = prefix_trie.number_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuild(turns, family=20, heads=4))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; labels are learned from rows that are not held out."""
     from tidewater.llm import toxicity
@@ -130,7 +138,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op5_chat, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash, op11_centroids, op13_toxicity)}
+    return {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_extract, op5_chat, op6_warc, op7_mixing, op8_topk, op9_pitman_yor, op10_simhash, op11_centroids, op12_prefix_trie, op13_toxicity)}
 
 
 def _rounds(n: int) -> str:
@@ -188,4 +196,35 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
             FROM s QUALIFY rank <= 5""",
         "op11_centroids": _rounds(3),
+        "op12_prefix_trie": r"""
+            WITH t AS (
+                SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), id) AS d, id, words
+                FROM (SELECT *, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+                             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)
+            ), c AS (
+                SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS donor, xor(list_reduce(
+                    list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+                    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: k::UBIGINT)),
+                                             lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 4 AS h
+                FROM t
+            ), r AS (
+                SELECT c.conv_id, 0 AS own, d, id, words FROM c JOIN t ON t.conv_id = c.donor WHERE d <= h
+                UNION ALL SELECT conv_id, 1, d, id, words FROM c JOIN t USING (conv_id) WHERE d > h
+            ), s AS (
+                SELECT conv_id, coalesce(ids, []) AS ids, coalesce(words, []) AS words FROM c
+                LEFT JOIN (SELECT conv_id, list(id ORDER BY own, d) AS ids, list(words ORDER BY own, d) AS words FROM r GROUP BY conv_id) USING (conv_id)
+            ), p AS (
+                SELECT conv_id, depth, ids[1:depth] AS path, coalesce(words[depth], 0) AS w, depth = len(ids) AS ends FROM s, unnest(range(len(ids) + 1)) u(depth)
+            ), n AS (
+                SELECT depth, path, path[1:depth - 1] AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, bool_and(ends) AS leaf,
+                       sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+                FROM p GROUP BY depth, path
+            ), k AS (
+                SELECT above AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above
+            ), b AS (
+                SELECT path[1:i] AS path, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM n, unnest(range(depth + 1)) u(i) GROUP BY 1
+            )
+            SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves,
+                   saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+            FROM n LEFT JOIN n m ON m.depth = n.depth - 1 AND m.path = n.above LEFT JOIN k ON k.path = n.path JOIN b ON b.path = n.path""",
     }
