@@ -319,6 +319,21 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - below
 
 
+def _log_gamma_ratio(c: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """log of Gamma(c - a) / Gamma(c + 1), without the difference of two large numbers."""
+    x, y = c - a, c + 1.0
+    far = np.minimum(x, y) > 40
+    x1, y1 = np.where(far, x, 50.0), np.where(far, y, 50.0)
+    tail = lambda z: 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    close = (x1 - 0.5) * np.log1p((x1 - y1) / y1) + (x1 - y1) * np.log(y1) - (x1 - y1) + tail(x1) - tail(y1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(far, close, _log_gamma(np.maximum(x, 1e-3)) - _log_gamma(y))
+
+
+#: Terms of the series may be so many times (as a logarithm) their sum: 16 digits less these leave about 1e-5.
+CANCELLED = math.log(1e9)
+
+
 class Stirling:
     """log of the generalised Stirling numbers S(c, t) of a discount, up to a factor that is the same
     for all t of one c."""
@@ -326,8 +341,14 @@ class Stirling:
     def __init__(self, discount: float, most: int = TABLE):
         self.d = discount
         # within this many times c^d tables the terms of the series fall from some term on, and are never so
-        # large before that what they leave of each other is lost
-        self.reach = 0.95 * min(30.0, 12.0 / (1 - discount)) ** (1 - discount) / discount**discount
+        # large before that what they leave of each other is lost: the latter is measured
+        most_reach = 0.95 * min(30.0, 12.0 / (1 - discount)) ** (1 - discount) / discount**discount
+        steps = np.linspace(0.0, most_reach, 65)[1:]
+        lost = np.zeros(len(steps), bool)
+        for c in (1e3, 1e6, 1e10):
+            value, largest = self._terms(np.full(len(steps), c), np.maximum(steps * c**discount, 1.0))
+            lost |= ~(largest - value < CANCELLED)
+        self.reach = float(steps[: np.argmax(lost)].max(initial=0.0)) if lost.any() else most_reach
         self.table = np.full((most + 1, most + 1), -np.inf)
         self.table[0, 0] = 0.0
         for c in range(most):
@@ -356,13 +377,18 @@ class Stirling:
 
     def series(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         """The binomial series of (1 - (1 - x)^d)^t."""
+        return self._terms(c, t)[0]
+
+    def _terms(self, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of the sum of the series, and of its largest term."""
         k = np.arange(1, 301)
         within = k[None, :] <= t[:, None]
         choose = np.cumsum(np.log(np.maximum(t[:, None] - k[None, :] + 1, 1e-9)) - np.log(k)[None, :], axis=1)
-        size = choose + np.array([math.lgamma(self.d * x + 1) for x in k])[None, :] + _log_gamma(c[:, None] - self.d * k[None, :]) - math.log(math.pi)
+        size = choose + np.array([math.lgamma(self.d * x + 1) for x in k])[None, :] + _log_gamma_ratio(c[:, None], self.d * k[None, :]) - math.log(math.pi)
         sign = np.where(k % 2 == 1, 1.0, -1.0) * np.sin(math.pi * self.d * k)
-        top = size[:, :1]
-        return np.log(np.maximum((np.where(within, np.exp(np.minimum(size - top, 60.0)), 0.0) * sign[None, :]).sum(axis=1), 1e-300)) + top[:, 0] - _log_gamma(c + 1)
+        top = np.where(within, size, -np.inf).max(axis=1, keepdims=True)
+        total = (np.where(within, np.exp(size - top), 0.0) * sign[None, :]).sum(axis=1)
+        return np.log(np.maximum(total, 1e-300)) + top[:, 0], top[:, 0]
 
     def saddle(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         d = self.d
