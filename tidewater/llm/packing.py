@@ -39,7 +39,13 @@ from tidewater.llm.shared import parts
 
 END_ID = 1
 CHUNK = 1 << 20  # characters encoded at a time
-_RUN = re.compile(r"\s\s+\S")
+#: White space as the tokenizer's pattern has it: Python's class also holds U+001C to U+001F.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The last two white spaces of a run before a word: found in one pass, however long the run.
+_RUN = re.compile(f"[{_SPACES}]{{2}}(?=[^{_SPACES}])")
+_SPACE_RUN = re.compile(f"[{_SPACES}]{{2,}}")
+#: Runs of more white spaces than this overflow the stack of the pattern that looks ahead: the tokenizer's file takes them.
+LONG_RUN = 100_000
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: The part of the pattern that looks ahead: it only matters before the last of several white spaces.
 _AHEAD = r"|\s+(?!\S)"
@@ -60,6 +66,17 @@ class Encoder:
         ranks = {token: n for token, n in ranks.items() if n not in set(self.added.values())}
         made = [tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for name, p in (("whole", pattern), ("plain", pattern.replace(_AHEAD, "")))]
         self.whole, self.plain = (e.encode_ordinary for e in made)
+        self.path, self.file = path, None
+
+    def _piece(self, text: str) -> list[int]:
+        if _RUN.search(text) is None:
+            return self.plain(text)
+        if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _SPACE_RUN.finditer(text)):
+            from tokenizers import Tokenizer
+
+            self.file = self.file or Tokenizer.from_file(self.path)
+            return self.file.encode(text, add_special_tokens=False).ids
+        return self.whole(text)
 
     def ids(self, text: str) -> np.ndarray:
         """uint32 ids of a text, without a closing id."""
@@ -68,7 +85,7 @@ class Encoder:
             if piece in self.added:
                 found.append(np.array([self.added[piece]], np.uint32))
             else:
-                found.extend(np.array(self.plain(c) if _RUN.search(c) is None else self.whole(c), np.uint32) for c in _chunks(piece))
+                found.extend(np.array(self._piece(c), np.uint32) for c in _chunks(piece))
         return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
