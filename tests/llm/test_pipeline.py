@@ -19,14 +19,14 @@ def test_stages(spark):
     ids = {r[0] for r in kept.select("doc_id").collect()}
     found = simhash.classes(known, **simhash.SIMILAR).groupBy("root").agg(F.min("doc_id")).collect()
     assert ids == {r[1] for r in found} and kept.count() == len(ids)
-    # brute force: texts of a similarity of 0.9 or more lose one of the two, unlike ones stay
+    # brute force: of texts of a similarity of 0.8 or more one stays, and none goes without such a text
     texts = {r["doc_id"]: r["text"].lower().split() for r in known.collect()}
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in texts.items()}
     names = sorted(sets)
     like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(names) for b in names[:i] if not sets[a].isdisjoint(sets[b])}
-    assert all(not (a in ids and b in ids) for (a, b), j in like.items() if j >= 0.95)
+    assert all(not (a in ids and b in ids) for (a, b), j in like.items() if j >= 0.8)
     gone = set(names) - ids
-    assert all(max(j for p, j in like.items() if k in p) >= 0.6 for k in gone)
+    assert all(max(j for p, j in like.items() if k in p) >= 0.8 for k in gone)
     mixed = stages["mixture"](spark, kept, DATA)
     order = [r[0] for r in mixed.select("doc_id").collect()]
     want = mixing.mix(kept, alpha=0.5).orderBy("mix_position").select("doc_id").collect()
@@ -36,6 +36,24 @@ def test_stages(spark):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
+def test_columns_of_any_name_pass(spark):
+    """Columns that operators add or use inside, nulls, ties, repeated rows and a long text: all rows come out whole."""
+    names = ["score", "lang_pred", "lang_spans", "mix_slot", "mix_position", "__row", "__src", "__h", "__at", "__id", "row", "root", "node", "hash", "odd name.x`y"]
+    body = " ".join(f"the house of word {i}" for i in range(40))
+    texts = [(1, body, "en", "a"), (2, "der garten und das haus am see", "de", None), (None, "la maison et le jardin", "fr", "a"), (3, "the house " * 60_000, "en", "b"), (4, "12 34", "en", "b"), (5, None, None, None), (6, body, "en", "b"), (6, body, "en", "b")]
+    rows = [(i, t, lang, s, 7, *[f"{n}{k}" for n in names]) for k, (i, t, lang, s) in enumerate(texts[:-1])]
+    docs = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda rs: sorted((tuple(r) for r in rs), key=repr)
+    known = stages["language"](spark, docs, DATA)
+    assert known.columns == docs.columns and key(known.collect()) == key([r for r in docs.collect() if r["doc_id"] not in (4, 5)])
+    kept = stages["near_duplicates"](spark, known, DATA)
+    assert kept.columns == docs.columns and key(kept.collect()) == key([r for r in known.collect() if r["doc_id"] != 6])
+    mixed = stages["mixture"](spark, kept, DATA)
+    assert mixed.columns == docs.columns and key(mixed.collect()) == key(kept.collect())
+    assert {r[0] for r in stages["packing"](spark, mixed, DATA).select("doc_id").collect()} == {1, 2, 3, None}
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

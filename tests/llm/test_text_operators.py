@@ -35,6 +35,18 @@ def test_language_held_out(docs):
     assert right / n > 0.98
 
 
+def test_und_exactly_where_no_letter_is(spark):
+    """Digits and signs in the blocks of scripts are no letters; one letter of any script is enough."""
+    train = frame(spark, *[(i, t, lang) for i in range(5) for t, lang in (("the house and the garden", "en"), ("дом и сад царя", "ru"), ("بيت وحديقة", "ar"))])
+    model = language.fit(train)
+    none = [None, "", "3 × 4", "12 ÷ 3", "٣٤٥", "१२३", "・", "฿ 5", "!!!", "1 2\u00a03", "😀"]
+    some = ["ª", "x", "3 × a", "ж", "٣ ب", "漢", "1é"]
+    found = {r["doc_id"]: r for r in language.identify(frame(spark, *[(i, t, None) for i, t in enumerate(none + some)]), model, ["doc_id"]).collect()}
+    assert [found[i]["lang_pred"] for i in range(len(none))] == ["und"] * len(none)
+    assert all(found[len(none) + i]["lang_pred"] in ("en", "ru", "ar") for i in range(len(some)))
+    assert all(found[i]["score"] == 0.0 and found[i]["lang_spans"] == [] for i in range(len(none)))
+
+
 def test_language_edges(spark):
     train = frame(spark, *[(i, t, lang) for i in range(5) for t, lang in (("the house and the garden of the king", "en"), ("das haus und der garten des königs", "de"), ("дом и сад царя", "ru"))])
     model = language.fit(train)
@@ -108,6 +120,28 @@ def test_packing_edges(spark):
     assert packing.pack(frame(spark, *HARD)).groupBy("doc_id").agg(F.sum("length")).count() == 6
 
 
+def test_encoder_on_control_characters():
+    """White space as the tokenizer has it: U+001C to U+001F are none."""
+    rng = np.random.default_rng(5)
+    letters = [*map(chr, range(0x21)), *"\x7f\x85\x9f\xa0\u1680\u180e\u2000\u2028\u202f\u205f\u3000\u200b\ufeff", "a", "Z", "é", "1", "'s", ".", "  "]
+    texts = ["".join(rng.choice(letters, size=int(rng.integers(1, 14)))) for _ in range(10_000)]
+    want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encoder().ids(t).tolist() for t in texts] == want
+
+
+@pytest.mark.parametrize("c", [" ", "\t", "\n", "\u3000", "\x1f", "a", "."])
+def test_encoder_on_long_runs(c):
+    """A megabyte of one character takes time in proportion; ids are those of the tokenizer's file."""
+    import time
+
+    for text in (c * 1_000_000, c * 1_000_000 + "x", "x" + c * 99_000 + "y" + c * 99_000):
+        packing.encoder().ids(c * 150_000 + "x")
+        began = time.time()
+        ids = packing.encoder().ids(text)
+        assert time.time() - began < 6  # about one on an idle machine
+        assert ids.tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_on_random_text():
     rng = np.random.default_rng(3)
     letters = [*"ab' .\n\tsé1!…漢 ", "<|endoftext|>", "<|", "|>", "  "]
@@ -237,6 +271,21 @@ def test_stirling_numbers_beyond_the_table(d):
     assert np.abs(far - exact - (far - exact)[0])[t <= s.reach * 1000**d].max() < 1e-4
 
 
+@pytest.mark.parametrize("d", [0.1, 0.15, 0.2, 0.5, 0.9])
+def test_stirling_numbers_of_many_customers(d):
+    """The series against the recurrence over 100,000 customers."""
+    s, most = pitman_yor.Stirling(d), 60
+    exact, t = np.full(most + 1, -np.inf), np.arange(most + 1)
+    exact[0] = 0.0
+    for c in range(100_000):
+        with np.errstate(divide="ignore"):
+            stay = np.where((t > 0) & (t <= c), exact + np.log(np.maximum(c - d * t, 1e-300)), -np.inf)
+        exact = np.concatenate(([-np.inf], np.logaddexp(stay[1:], exact[:-1])))
+    t = t[1 : int(min(most, max(12, s.reach * 1e5**d))) + 1]
+    gap = s.far(np.full(len(t), 1e5), t.astype(float)) - exact[t]
+    assert np.abs(gap - gap[0]).max() < 1e-4
+
+
 def test_model_edges(spark):
     df = frame(spark, *HARD)
     model = pitman_yor.fit(df)

@@ -21,6 +21,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewater.llm.shared import Spans, parts, slices, utf8
+from tidewater.llm.shared import Spans, parts, row_of, slices, utf8
 
 UND = "und"
 SCRIPT_SHARE = 0.005
@@ -237,8 +239,11 @@ def viterbi(score: np.ndarray, count: np.ndarray, switch: float = SWITCH) -> np.
     return path[within % CHUNK, chunk]
 
 
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
 def _has_letter(text: bytes) -> bool:
-    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
+    return _ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
 def label_texts(texts: list[bytes], model: LanguageModel) -> tuple[list[str], np.ndarray, list[list[dict]]]:
@@ -264,7 +269,7 @@ def label_texts(texts: list[bytes], model: LanguageModel) -> tuple[list[str], np
         first, sizes, langs = (change - doc_first[run_row]).tolist(), run_size.tolist(), run_lang.tolist()
         for i in range(hi - lo):
             mine = range(run_at[i], run_at[i + 1])
-            if total[i] == 0 and not _has_letter(texts[lo + i]):
+            if not _has_letter(texts[lo + i]):  # blocks of a script hold digits and signs too
                 names.append(UND)
                 spans.append([])
                 continue
@@ -280,13 +285,13 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     made = ("lang_pred", "score", "lang_spans")
     names = [c for c in (keep if keep is not None else docs.columns) if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*names, F.col("text").cast("string").alias("__text"))
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names) + "lang_pred string, score double, lang_spans array<struct<first:int,words:int,lang:string>>"
+    kept = docs.select(row_of(names), F.col("text").cast("string").alias("text"))
+    schema = StructType([kept.schema["row"], *StructType.fromDDL("lang_pred string, score double, lang_spans array<struct<first:int,words:int,lang:string>>")])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for whole in batches for p in parts(whole)):
-            lang, score, spans = label_texts(utf8(b.column(b.num_columns - 1)), shared.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind)], [*names, *made])
+            lang, score, spans = label_texts(utf8(b.column(1)), shared.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind)], ["row", *made])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).select("row.*", *made)

@@ -32,6 +32,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import row_of
+
 BLOCK = 32
 QUANTUM = 1000
 SHARD_ROWS = 8192
@@ -127,7 +129,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ADDED]
-    keyed = docs.select(*names, _source_key(source).alias("__src"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__h"))
+    keyed = docs.select(row_of(names), F.col(id_col).alias("__id"), _source_key(source).alias("__src"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__h"))
     totals = {r["__src"]: r["count"] for r in keyed.groupBy("__src").count().collect()}  # one row per source
     if weights is not None:
         named = {("-" if s is None else f"+{s}"): float(w) for s, w in weights.items() if w > 0}
@@ -148,11 +150,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     sizes = keyed.groupBy("__src", "__shard").count()
     before = Window.partitionBy("__src").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("__src", "__shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__src", "__shard").orderBy("__h", id_col, F.xxhash64(*names))
+    within = Window.partitionBy("__src", "__shard").orderBy("__h", "__id", F.xxhash64("row"))
     numbered = keyed.withColumn("__n", F.row_number().over(within)).join(bases, ["__src", "__shard"])
     numbered = numbered.withColumn("__n", F.col("__base") + F.col("__n") - 1).withColumn("__half", F.floor(F.col("__n") / half))
 
-    plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns if c != "phase"])  # no name of the input meets one used here
+    plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns if c != "phase"])
     last = F.col("__p_first_block") + F.col("__p_quota") * F.col("__p_repeats")
     each = plan.withColumn("__p_k", F.explode(F.sequence(F.col("__p_first_block"), last - 1)))
     within = (F.col("__p_k") - F.col("__p_first_block")) % F.col("__p_quota")
@@ -164,7 +166,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     at = F.col("__p_at")
     slot = F.col("__p_first_slot") + F.floor(j / F.col("__p_quota")) * F.col("__p_period") + at
     return joined.select(
-        *names,
+        "row.*",
         F.floor(F.col("__half") / per_block).cast("long").alias("mix_block"),
         (F.col("__half") % per_block).cast("int").alias("mix_half"),
         slot.cast("long").alias("mix_slot"),

@@ -14,7 +14,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 PART_ROWS = 512
@@ -67,6 +68,12 @@ def settled(df: DataFrame, what: str, with_path: bool = False) -> DataFrame | tu
     return (read, path) if with_path else read
 
 
+def row_of(names: list[str]) -> Column:
+    """The columns of these names, whatever they hold, as one struct ``row``: a frame that carries it beside the few
+    columns an operator uses has no names that could meet those the operator makes; ``row.*`` unpacks it."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in names]).alias("row")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import similar
-from tidewater.llm.shared import parts, settled, slices, utf8
+from tidewater.llm.shared import parts, row_of, settled, slices, utf8
 
 BITS = 4
 BLOCK = 4096
@@ -390,10 +390,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = BITS) -> Data
 def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], jaccard: float = SIMILAR["jaccard"]) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the smallest
     doc_id stays (nulls last; then the smallest hash of the row), whole and once."""
-    names = docs.columns
-    marked = docs.withColumn("__row", F.xxhash64(*names))
-    found = classes(marked, shingle, carry=("doc_id", "__row"), jaccard=jaccard)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("k")
-    kept = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.__row").alias("__kept"))
-    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__row"] == kept["__kept"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*names)
+    whole = docs.select(row_of(docs.columns))  # no name of the input meets one used here
+    marked = whole.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.xxhash64("row").alias("hash"))
+    found = classes(marked, shingle, carry=("doc_id", "hash"), jaccard=jaccard)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")
+    kept = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("id"), F.col("k.hash").alias("kept"))
+    same = marked["doc_id"].eqNullSafe(kept["id"]) & (marked["hash"] == kept["kept"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")

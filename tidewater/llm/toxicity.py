@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewater.llm.shared import parts, slices, span_hash, utf8
+from tidewater.llm.shared import parts, row_of, slices, span_hash, utf8
 
 PREFIXES = (3, 4, 5, 6, 7)
 STRENGTH = 4.0
@@ -301,7 +302,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     made = ("score", "predicted", "passages")
     names = [c for c in keep if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    row = docs.select(row_of(names), F.col("text").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,5 +325,5 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     )
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array(passages, kind)], ["row", *made])
 
-    schema = f"row {row.schema['row'].dataType.simpleString()}, score double, predicted int, passages array<{PASSAGE}>"
+    schema = StructType([row.schema["row"], *StructType.fromDDL(f"score double, predicted int, passages array<{PASSAGE}>")])
     return row.mapInArrow(run, schema).select("row.*", *made)
