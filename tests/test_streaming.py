@@ -7,29 +7,6 @@ from tidewater.sources import fixtures as fx
 from tidewater.streaming import ingest
 
 
-def test_split_and_replay(spark, tmp_path):
-    raw = schemas.conform(fx.raw_events(spark, DATA), schemas.BRONZE)
-    raw.write.parquet(f"{tmp_path}/all")
-    raw = spark.read.parquet(f"{tmp_path}/all")
-    want = clean.keep_latest(clean.silver(raw).where("is_valid"), ["event_fingerprint"]).count()
-
-    def run():
-        q = ingest.silver_stream(ingest.raw_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/silver", f"{tmp_path}/bad", f"{tmp_path}/check")
-        q.awaitTermination()
-        return spark.read.parquet(f"{tmp_path}/silver").count()
-
-    raw.where("kafka_offset % 2 = 0").write.parquet(f"{tmp_path}/in")
-    first = run()
-    assert 0 < first < want and run() == first
-    raw.where("kafka_offset % 2 = 1").write.mode("append").parquet(f"{tmp_path}/in")
-    assert run() == want
-    write = ingest.upsert_silver(f"{tmp_path}/silver", f"{tmp_path}/bad")
-    bad = spark.read.parquet(f"{tmp_path}/bad").count()
-    write(raw, 77)
-    write(raw, 77)
-    assert spark.read.parquet(f"{tmp_path}/silver").count() == want and spark.read.parquet(f"{tmp_path}/bad").count() == bad
-
-
 def test_counters_and_limits(spark, tmp_path):
     g_raw = fx.raw_events(spark, DATA)
     events = star.fact_events(star.staging(clean.silver(g_raw)))

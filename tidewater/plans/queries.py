@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,9 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as fn
+from tidewater import schemas
 from tidewater.operators import catalog, clean, logs, matching, profile, quality, serving, star, summaries
+from tidewater.operators.refresh import DailyTables
 from tidewater.sources import fixtures as fx
 from tidewater.sources import tables
+from tidewater.sources.scratch import shared_path
+from tidewater.streaming import upsert
 
 AS_OF = "2024-02-03 00:00:00"
 _AUDIT = ("silver_processed_at", "gold_processed_at", "created_at", "updated_at")
@@ -28,12 +30,35 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.drop(*_AUDIT)
 
 
-_LAYERS: dict[tuple[str, str, str], str] = {}
+#: By application, folder and name: what the input's files were, and where the layer lies.
+_LAYERS: dict[tuple[str, str, str], tuple[int, str]] = {}
+
+
+def _layer(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]) -> str:
+    """The path of a written layer, made when first asked for and again when the files it comes from have changed;
+    the outdated one is removed, the last when the application ends."""
+    stamp = hash(tuple(f for t in ("events", "part") for f in tables.listing(spark, f"{sf_dir}/{t}.parquet")))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _LAYERS:
+        found, path = _LAYERS[key]
+        if found == stamp:
+            return path
+        tables.remove(spark, path)
+    path = shared_path(spark, f"gold-{name}")
+    make(path)
+    _LAYERS[key] = (stamp, path)
+    return path
+
+
+def forget_layers(spark: SparkSession) -> None:
+    """Removes the written layers of this application; they are made again when asked for."""
+    for key in [k for k in _LAYERS if k[0] == spark.sparkContext.applicationId]:
+        tables.remove(spark, _LAYERS.pop(key)[1])
 
 
 class Gold:
     """The layers over one folder of tables.  Staging, the product dimension and the summaries are written
-    once per application and folder, when first asked for, and served from there."""
+    when first asked for, and served from there."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -41,17 +66,7 @@ class Gold:
         self.silver = clean.silver(self.raw, _at())
 
     def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        found = tables.read_or_none(self.spark, _LAYERS[key]) if key in _LAYERS else None
-        if found is None:
-            base = self.spark.conf.get("spark.checkpoint.dir", None)
-            if not base:  # on one machine only
-                base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-                self.spark.conf.set("spark.checkpoint.dir", base)
-            _LAYERS[key] = f"{base.rstrip('/')}/gold-{name}-{uuid.uuid4().hex}"
-            make().write.parquet(_LAYERS[key])
-            found = self.spark.read.parquet(_LAYERS[key])
-        return found
+        return self.spark.read.parquet(_layer(self.spark, self.sf_dir, name, lambda path: make().write.parquet(path)))
 
     @property
     def stg(self) -> DataFrame:
@@ -125,6 +140,52 @@ def refresh_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.refresh_counters(silver, silver.where("is_valid AND kafka_partition = 0"))
 
 
+# ---------------------------------------------------------------- incremental silver and gold
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> str:
+    """Silver and daily summaries from three batches of two streams: most events and a summary of all; the rest of two
+    days, late, and their refresh; a part of both again under another stream's numbers, which adds nothing."""
+
+    def make(path: str) -> None:
+        raw = schemas.conform(fx.raw_events(spark, sf_dir), schemas.BRONZE)
+        late = F.dayofmonth("kafka_ts").isin(5, 17) & (F.col("kafka_offset") % 2 == 0)
+        daily = DailyTables(spark, f"{path}/silver", f"{path}/gold")
+        for stream, number, rows in (("a", 0, raw.where(~late)), ("a", 1, raw.where(late)), ("b", 0, raw.where("kafka_partition = 1"))):
+            done = upsert.upsert(rows, stream, number, f"{path}/silver", f"{path}/quarantine", _at())
+            daily.refresh(done.days, _at())
+
+    return _layer(spark, sf_dir, "incremental", make)
+
+
+def _refreshed(which: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _incremental(spark, sf_dir)
+        return _plain(DailyTables(spark, f"{path}/silver", f"{path}/gold").read(which))
+
+    return run
+
+
+for _which in ("event", "product", "category", "brand"):
+    _QUERIES[f"refreshed_daily_{_which}"] = _refreshed(_which)
+
+
+@_query
+def upserted_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(schemas.SILVER).parquet(f"{_incremental(spark, sf_dir)}/silver").select("event_fingerprint", "event_date", "event_type", "product_id", "price")
+
+
+@_query
+def upserted_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(schemas.QUARANTINE).parquet(f"{_incremental(spark, sf_dir)}/quarantine").select("source_event_id", "invalid_reason")
+
+
+@_query
+def upsert_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = upsert.commits(spark, f"{_incremental(spark, sf_dir)}/silver")
+    return found.select("stream", "batch_id", "written", "quarantined", F.concat_ws(",", F.transform("days", lambda d: d.cast("string"))).alias("days"))
+
+
 # ---------------------------------------------------------------- star
 
 _gold("stg_events", lambda g: _plain(g.stg).drop("event_ts", "kafka_ts"))

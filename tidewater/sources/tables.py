@@ -59,6 +59,29 @@ def read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = N
         return None
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and change time of every file at or below a path, in name order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def in_days(df: DataFrame, days: list, column: str = "event_date", most: int = 1000) -> DataFrame:
+    """Rows of these days, as a filter on partitions: the days themselves, or their span where they are many."""
+    if len(days) > most:
+        return df.where(F.col(column).between(min(days), max(days)))
+    return df.where(F.col(column).isin(list(days)) if days else F.lit(False))
+
+
 def write_mode(mode: str | None) -> str:
     return mode if mode in ("append", "overwrite") else "append"
 
@@ -72,6 +95,12 @@ def write_silver(valid: DataFrame, quarantine: DataFrame, valid_path: str, quara
     write_partitioned(quarantine, quarantine_path, "processing_date", mode)
 
 
+def replace_days(df: DataFrame, path: str, by: str = "event_date") -> None:
+    """Only the partitions that ``df`` has rows of are replaced.  Rows are dealt by day and evened out, so that a day
+    becomes few files and a large one more than one task."""
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def files(df: DataFrame) -> DataFrame:
     """The files behind a Parquet table: rows, size, change time."""
     m = "_metadata"

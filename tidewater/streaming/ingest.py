@@ -1,4 +1,4 @@
-"""Incremental and streaming forms: ingest, effectively-once Silver, daily counters, rate limits."""
+"""Streaming forms: ingest, bounded-lateness deduplication, daily counters, rate limits."""
 
 from __future__ import annotations
 
@@ -6,14 +6,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater import schemas
 from tidewater.operators import clean
-from tidewater.sources import tables
 
 
 def raw_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,45 +25,11 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).partitionBy("date_partition").trigger(availableNow=True).start()
 
 
-def upsert_silver(silver_path: str, quarantine_path: str, processed_at: Column | None = None):
-    """For ``foreachBatch``: the batch's valid events, once each, that are not in Silver yet; invalid
-    rows not yet in quarantine by lineage id.  Every row carries its batch, and a batch that is in
-    the table already is not written again, so a repeated batch changes nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        valid, bad = clean.split_valid(clean.silver(batch, processed_at))
-        have = tables.read_or_none(spark, silver_path)
-        fresh = clean.keep_latest(valid, ["event_fingerprint"])
-        if have is not None:
-            if not have.where(F.col("batch_id") == batch_id).isEmpty():
-                return
-            fresh = clean.new_rows(fresh, have)
-        kept = tables.read_or_none(spark, quarantine_path)
-        if kept is not None:
-            bad = clean.new_rows(bad, kept, "source_event_id")
-        bad.write.mode("append").partitionBy("processing_date").parquet(quarantine_path)
-        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("event_date").parquet(silver_path)
-
-    return write
-
-
-def silver_stream(stream: DataFrame, silver_path: str, quarantine_path: str, checkpoint: str, processed_at: Column | None = None) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(upsert_silver(silver_path, quarantine_path, processed_at)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def drop_repeats(silver: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Events once each, where a bound on lateness is acceptable."""
     return silver.withWatermark("event_ts", lateness).dropDuplicatesWithinWatermark(["event_fingerprint"])
 
 
-def touched_days(batch: DataFrame) -> DataFrame:
-    """Days to refresh after a batch; late events only add days."""
-    return batch.select("event_date").distinct()
-
-
 def daily_counters(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     """The additive columns of the daily summary over a stream of fact events."""
     day = F.window("event_ts", "1 day")
