@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as fn
+from tidewater.operators.order import numbered
 
 #: Upper bounds of the latency buckets, seconds.
 BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 20.0, 30.0, 60.0)
@@ -36,7 +37,8 @@ def session_rollup(log: DataFrame, *last: str) -> DataFrame:
 
 
 def turn_index(log: DataFrame, session: str = "session_id", *order: str) -> DataFrame:
-    return log.withColumn("turn_index", F.row_number().over(Window.partitionBy(session).orderBy(*order)))
+    """Each turn's number in its session; a session of any size is numbered by many tasks."""
+    return numbered(log, [session], [F.col(c) for c in order], "turn_index")
 
 
 def last_turns(turns: DataFrame, session: str, order: str, k: int = 4, text: Column | None = None) -> DataFrame:
@@ -97,20 +99,29 @@ def latency_histogram(log: DataFrame, *keys: str, bounds: tuple[float, ...] = BU
     return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(le).alias("le"), F.col(f"b{i}").alias("n")) for i, le in enumerate(tops)])).alias("x")).select(*keys, "x.*")
 
 
-def bucket_quantile(histogram: DataFrame, q: float, *keys: str) -> DataFrame:
-    """Linear interpolation inside the bucket of the rank; NaN if empty; above the last finite bound
-    that bound."""
-    rows = F.array_sort(F.collect_list(F.struct("le", "n")))
-    h = histogram.groupBy(*keys).agg(rows.alias("h"))
-    total = F.element_at("h", -1)["n"]
+def counts_quantile(counts: Column, q: float, bounds: tuple[float, ...] = BUCKETS) -> Column:
+    """The quantile of an array of cumulative counts per upper bound, the last of infinity: linear interpolation inside the
+    bucket of the rank; NaN if empty; above the last finite bound that bound."""
+    tops = F.array(*[F.lit(float(x)) for x in (*bounds, float("inf"))])
+    total = F.element_at(counts, -1)
     rank = total * q
-    i = F.array_position(F.transform("h", lambda b: b["n"] >= rank), True).cast("int")  # from 1
-    low = F.when(i > 1, F.get("h", i - 2)["le"]).otherwise(F.lit(0.0))
-    before = F.when(i > 1, F.get("h", i - 2)["n"]).otherwise(F.lit(0))
-    here = F.get("h", i - 1)
-    inside = low + (here["le"] - low) * F.try_divide(rank - before, here["n"] - before)
-    value = F.when(total == 0, F.lit(float("nan"))).when(here["le"] == float("inf"), F.get("h", F.size("h") - 2)["le"]).otherwise(inside)
-    return h.select(*keys, value.alias("quantile"))
+    i = F.array_position(F.transform(counts, lambda n: n >= rank), True).cast("int")  # from 1
+    low = F.when(i > 1, F.get(tops, i - 2)).otherwise(F.lit(0.0))
+    before = F.when(i > 1, F.get(counts, i - 2)).otherwise(F.lit(0))
+    top, n = F.get(tops, i - 1), F.get(counts, i - 1)
+    inside = low + (top - low) * F.try_divide(rank - before, n - before)
+    return F.when(total == 0, F.lit(float("nan"))).when(i == len(bounds) + 1, F.lit(float(bounds[-1]))).otherwise(inside)
+
+
+def bucket_counts(seconds: Column, bounds: tuple[float, ...] = BUCKETS) -> list[Column]:
+    """The cumulative counts of a histogram, as aggregates; histograms add up by position."""
+    return [F.count_if(seconds <= le) for le in (*bounds, float("inf"))]
+
+
+def bucket_quantile(histogram: DataFrame, q: float, *keys: str, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
+    """The quantile of rows (``le``, ``n``) of a histogram per key."""
+    h = histogram.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("le", "n"))), lambda b: b["n"]).alias("h"))
+    return h.select(*keys, counts_quantile(F.col("h"), q, bounds).alias("quantile"))
 
 
 def exact_quantiles(log: DataFrame, *qs: float) -> DataFrame:
@@ -125,8 +136,7 @@ def alerts(counters: DataFrame, p95: Column, stale: Column) -> DataFrame:
 def fixed_window_limit(hits: DataFrame, key: str, ts: str, limit: int = 30, seconds: int = 60, *ties: str) -> DataFrame:
     """Each hit in its aligned window: allowed, remaining, seconds until the window ends."""
     start = F.floor(F.unix_timestamp(ts) / seconds) * seconds
-    w = Window.partitionBy(key, "window_start").orderBy(ts, *ties)
-    out = hits.withColumn("window_start", start.cast("bigint")).withColumn("hit", F.row_number().over(w).cast("bigint"))
+    out = numbered(hits.withColumn("window_start", start.cast("bigint")), [key, "window_start"], [F.col(c) for c in (ts, *ties)], "hit")
     return out.select("*", (F.col("hit") <= limit).alias("allowed"), F.greatest(limit - F.col("hit"), F.lit(0)).cast("bigint").alias("remaining"), (F.col("window_start") + seconds - F.unix_timestamp(ts)).cast("bigint").alias("retry_after"))
 
 

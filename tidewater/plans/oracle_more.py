@@ -20,4 +20,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'a' AS stream, batch_id::BIGINT AS batch_id, (SELECT count(*) FROM f WHERE batch = batch_id) AS written, (SELECT count(*) FROM q WHERE batch = batch_id) AS quarantined,
                 coalesce((SELECT string_agg(DISTINCT event_date::VARCHAR, ',' ORDER BY event_date::VARCHAR) FROM f WHERE batch = batch_id), '') AS days FROM (SELECT unnest([0, 1]) AS batch_id)
             UNION ALL SELECT 'b', 0, 0, 0, ''""",
+        "first_hit_windows": f"""{base._LOG.replace("WITH lg", "WITH RECURSIVE lg")}, x AS (SELECT run_id, user_id, created_at, floor(epoch(created_at))::BIGINT AS e FROM lg),
+            y AS (SELECT DISTINCT user_id, e FROM x), nx AS (SELECT a.user_id, a.e, min(b.e) AS n FROM y a JOIN y b ON a.user_id = b.user_id AND b.e >= a.e + 86400 GROUP BY 1, 2),
+            w AS (SELECT user_id, min(e) AS s FROM y GROUP BY 1 UNION ALL SELECT w.user_id, nx.n FROM w JOIN nx ON nx.user_id = w.user_id AND nx.e = w.s),
+            z AS (SELECT x.run_id, x.user_id, e, max(s) AS window_start, any_value(created_at) AS c FROM x JOIN w ON w.user_id = x.user_id AND s <= e GROUP BY 1, 2, 3),
+            h AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_start ORDER BY c, run_id) AS hit FROM z)
+            SELECT run_id, user_id, window_start, hit, hit <= 2 AS allowed, greatest(2 - hit, 0) AS remaining, window_start + 86400 - e AS retry_after FROM h""",
+        "held_alerts": f"""{base._LOG}, x AS (SELECT status, latency_ms / 1000.0::DOUBLE AS sec, floor(epoch(created_at))::BIGINT // 3600 * 3600 + 3600 + 3600 * unnest([0, 1, 2, 3, 4, 5]) AS ev FROM lg),
+            le AS (SELECT unnest([{", ".join(map(str, base._LE))}, 'inf'::DOUBLE]::DOUBLE[]) AS le), h AS (SELECT ev, le, count(*) FILTER (sec <= le) AS n FROM x, le GROUP BY 1, 2),
+            q AS (SELECT *, coalesce(lag(le) OVER o, 0) AS lo, coalesce(lag(n) OVER o, 0) AS before, 0.95::DOUBLE * max(n) OVER (PARTITION BY ev) AS rank FROM h WINDOW o AS (PARTITION BY ev ORDER BY le)),
+            p AS (SELECT ev, CASE WHEN isinf(le) THEN 60.0 ELSE lo + (le - lo) * (rank - before) / (n - before) END AS p95 FROM q WHERE n >= rank QUALIFY row_number() OVER (PARTITION BY ev ORDER BY le) = 1),
+            r AS (SELECT ev, count(*) FILTER (status = 'failed')::DOUBLE / count(*) AS er FROM x GROUP BY 1),
+            t AS (SELECT 'high_error' AS rule, ev, er AS v FROM r WHERE er > 0.2 UNION ALL SELECT 'slow_p95', ev, p95 FROM p WHERE p95 > 1.0),
+            g AS (SELECT *, sum(CASE WHEN ev - before = 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY rule ORDER BY ev) AS run FROM (SELECT *, lag(ev) OVER (PARTITION BY rule ORDER BY ev) AS before FROM t))
+            SELECT rule, min(ev) AS active_at, min(ev) + 10800 AS firing_at, max(ev) + 3600 AS resolved_at, count(*) AS evaluations, round(max(v), 6) AS worst FROM g GROUP BY rule, run HAVING count(*) > 3""",
+        "counter_increase": """WITH e AS (SELECT (user_id % 8)::VARCHAR AS instance, CAST(ts AS TIMESTAMP) AS ev, event_id FROM events),
+            l AS (SELECT *, sum(CASE WHEN event_id % 41 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY instance, ev::DATE ORDER BY ev, event_id ROWS UNBOUNDED PRECEDING) AS life FROM e),
+            s AS (SELECT instance, floor(epoch(ev))::BIGINT AS t, row_number() OVER (PARTITION BY instance, ev::DATE, life ORDER BY ev, event_id)::DOUBLE AS v FROM l),
+            d AS (SELECT instance, t, max(v) AS v FROM s GROUP BY 1, 2),
+            k AS (SELECT *, CASE WHEN b IS NULL THEN 0 WHEN v < b THEN v ELSE v - b END AS inc FROM (SELECT *, lag(v) OVER (PARTITION BY instance ORDER BY t) AS b FROM d)),
+            c AS (SELECT *, (t + 3599) // 3600 * 3600 + 3600 * unnest([0, 1, 2, 3, 4, 5]) AS "end" FROM k),
+            w AS (SELECT instance, "end", count(*) AS samples, min(t) AS t0, max(t) AS t1, arg_min(v, t) AS v0, sum(inc) - arg_min(inc, t) AS known FROM c WHERE "end" - t < 21600 GROUP BY 1, 2 HAVING count(*) > 1),
+            m AS (SELECT *, (t1 - t0)::DOUBLE AS whole, (t1 - t0)::DOUBLE / (samples - 1) AS mean, (t0 - ("end" - 21600))::DOUBLE AS l, ("end" - t1)::DOUBLE AS r FROM w),
+            n AS (SELECT *, CASE WHEN l >= 1.1::DOUBLE * mean THEN mean / 2 ELSE l END AS l2, CASE WHEN r >= 1.1::DOUBLE * mean THEN mean / 2 ELSE r END AS r2 FROM m),
+            o AS (SELECT *, CASE WHEN known > 0 AND whole * v0 / known < l2 THEN whole * v0 / known ELSE l2 END AS l3 FROM n)
+            SELECT instance, "end", samples, round(known * (whole + l3 + r2) / whole, 6) AS increase, round(known * (whole + l3 + r2) / whole / 21600 * 3600, 6) AS per_hour FROM o""",
     }

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import columns as fn
 from tidewater import schemas
-from tidewater.operators import catalog, clean, logs, matching, profile, quality, serving, star, summaries
+from tidewater.operators import alerts, catalog, clean, logs, matching, profile, quality, ratelimit, serving, star, summaries
 from tidewater.operators.refresh import DailyTables
 from tidewater.sources import fixtures as fx
 from tidewater.sources import tables
 from tidewater.sources.scratch import shared_path
 from tidewater.streaming import upsert
+from tidewater.streaming.rates import sliding_quantiles
 
 AS_OF = "2024-02-03 00:00:00"
 _AUDIT = ("silver_processed_at", "gold_processed_at", "created_at", "updated_at")
@@ -459,6 +460,31 @@ def sliding_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "requests", "errors", F.round("error_ratio", 6).alias("error_ratio"))
 
 
+@_query
+def first_hit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate limit whose window starts at a user's first hit after the last one's end."""
+    hits = fx.query_log(spark, sf_dir).select("run_id", "user_id", "created_at")
+    return ratelimit.first_hit_windows(hits, "user_id", "created_at", 2, 86400, "run_id").drop("created_at")
+
+
+@_query
+def held_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firings of two rules over six hours, evaluated every hour, that hold for three: failed share, and slow p95."""
+    rates = sliding_quantiles(fx.query_log(spark, sf_dir), 0.95, size="6 hours", slide="1 hour")
+    end = rates.withColumn("at", F.col("window_start") + F.expr("INTERVAL 6 HOURS"))
+    rules = {"high_error": (F.col("error_ratio") > 0.2, F.col("error_ratio")), "slow_p95": (F.col("p95") > 1.0, F.col("p95"))}
+    found = [alerts.held(end, "at", c, 3 * 3600, 3600, value=v).withColumn("rule", F.lit(name)) for name, (c, v) in rules.items()]
+    both = reduce(DataFrame.unionByName, found)
+    return both.select("rule", *[F.unix_timestamp(c).alias(c) for c in ("active_at", "firing_at", "resolved_at")], "evaluations", F.round("worst", 6).alias("worst"))
+
+
+@_query
+def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth over six hours, every hour, of request counters that begin again when their process restarts."""
+    found = alerts.counter_increase(fx.request_counters(spark, sf_dir), "at", "value", 6 * 3600, 3600, "instance")
+    return found.select("instance", F.unix_timestamp("end").alias("end"), "samples", F.round("increase", 6).alias("increase"), F.round(F.col("rate") * 3600, 6).alias("per_hour"))
+
+
 # ---------------------------------------------------------------- catalog
 
 

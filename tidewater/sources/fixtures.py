@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,17 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of a request counter of eight instances, one at each request; an instance restarts every day, and
+    again before each request whose id is divisible by 41, so its counter begins again."""
+    n, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).cast("string").alias("instance"), ts.alias("at"), n)
+    day = Window.partitionBy("instance", F.to_date("at")).orderBy("at", "event_id")
+    life = rows.withColumn("life", F.sum(F.when(n % 41 == 0, 1).otherwise(0)).over(day))
+    value = F.row_number().over(Window.partitionBy("instance", F.to_date("at"), "life").orderBy("at", "event_id"))
+    return life.select("instance", "at", value.cast("double").alias("value"))
+
+
 SQL_TEXTS = [
     "SELECT brand FROM t WHERE brand = 'Samsung';", "WITH a AS (SELECT 1) SELECT * FROM a", "select brand from t limit 5", "DROP TABLE t",
     "SELECT 1; SELECT 2", "SELECT 'a drop' AS x", "-- c\nSELECT 1", "",
