@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,20 +99,50 @@ def json_or(c: Column, schema: str, default: Column) -> Column:
 
 # ---------------------------------------------------------------- text
 
-#: Vietnamese and Latin letters and their plain forms.
-_ACCENTED = {
-    "a": "àáạảãâầấậẩẫăằắặẳẵäåāąǎȁȃ", "e": "èéẹẻẽêềếệểễëēęĕėěȅȇ", "i": "ìíịỉĩîïīĭįǐȉȋ", "o": "òóọỏõôồốộổỗơờớợởỡöōőŏǒǫȍȏ",
-    "u": "ùúụủũưừứựửữûüūűŭůųǔȕȗ", "y": "ỳýỵỷỹÿŷ", "c": "çćčĉċ", "n": "ñńňņǹ", "s": "śšŝşș", "z": "źżž", "d": "đď", "l": "ĺľļ", "r": "ŕřŗ",
-    "t": "ťţț", "g": "ğĝġģǧ", "k": "ķǩ", "h": "ĥȟ", "j": "ĵǰ", "w": "ŵ",
-}
-_MARKS = "[\\u0300-\\u036f]"
+@lru_cache(maxsize=1)
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """From Unicode's decompositions of every assigned code point, without nonspacing marks: letters with a plain form of one
+    letter and their plain forms (marks follow without one, so they are removed), and the few with more."""
+    one, many, marks = {}, {}, []
+    for point in range(0x80, 0x110000):
+        c = chr(point)
+        if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:  # surrogates, and Hangul, which follows a rule
+            continue
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if plain != c:
+            (one if len(plain) == 1 else many)[c] = plain
+    return "".join(one) + "".join(marks), "".join(one.values()), many
+
+
+def _hangul(c: Column) -> Column:
+    """Hangul syllables as the letters they are made of: 19 leading, 21 vowels, 27 trailing or none."""
+    lead, vowel, tail = (F.array(*[F.lit(chr(x)) for x in r]) for r in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
+
+    def letters(x: Column) -> Column:
+        s = F.ascii(x) - 0xAC00
+        made = F.concat(F.get(lead, F.floor(s / 588).cast("int")), F.get(vowel, F.floor(s % 588 / 28).cast("int")), F.coalesce(F.get(tail, (s % 28 - 1).cast("int")), F.lit("")))
+        return F.when(s.between(0, 11171), made).otherwise(x)
+
+    return F.array_join(F.transform(F.split(c, ""), letters), "")
+
+
+def strip_marks(c: Column) -> Column:
+    """Canonically decomposed, without nonspacing marks.  Spark has no normalisation, so code points are mapped; ASCII
+    texts are left as they are."""
+    source, target, many = _decomposed()
+    plain = F.translate(c, source, target)
+    spread = reduce(lambda x, k: F.replace(x, F.lit(k), F.lit(many[k])), many, plain)
+    out = F.when(plain.rlike("[" + "".join(many) + "]"), spread).otherwise(plain)
+    out = F.when(out.rlike("[\uac00-\ud7a3]"), _hangul(out)).otherwise(out)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), out).otherwise(c)
 
 
 def fold_accents(c: Column) -> Column:
-    """Lower case without accents; Spark has no normalisation, so letters are mapped."""
-    source = "".join(_ACCENTED.values())
-    target = "".join(k * len(v) for k, v in _ACCENTED.items())
-    return F.regexp_replace(F.translate(F.lower(c), source, target), _MARKS, "")
+    """Lower case without accents; the barred d is a d."""
+    return F.translate(strip_marks(F.lower(c)), "đ", "d")
 
 
 def fold_words(c: Column) -> Column:

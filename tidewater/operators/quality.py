@@ -77,13 +77,13 @@ def enforce(report: DataFrame) -> None:
 
 
 def refresh_counters(silver: DataFrame, existing: DataFrame, key: str = "event_fingerprint") -> DataFrame:
-    """One row: valid, invalid, deduped (repeats within the batch), skipped (keys that exist), written."""
-    sides = silver.groupBy("is_valid").agg(F.count(F.lit(1)).alias("n"))
-    one = sides.agg(F.coalesce(F.sum(F.when(F.col("is_valid"), F.col("n"))), F.lit(0)).alias("valid"), F.coalesce(F.sum(F.when(~F.col("is_valid"), F.col("n"))), F.lit(0)).alias("invalid"))
+    """One row: valid, invalid, deduped (repeats within the batch), skipped (keys that exist), written.  Both tables are
+    read once: rows are counted by key before they meet the existing keys."""
+    by_key = silver.groupBy(key).agg(F.count_if("is_valid").alias("good"), F.count_if(~F.col("is_valid")).alias("bad"))
     have = existing.select(key).distinct().withColumn("__have", F.lit(True))
-    kept = silver.where("is_valid").select(key).distinct().join(have, key, "left").agg(F.count(F.lit(1)).alias("kept"), F.count("__have").alias("skipped"))
-    both = one.crossJoin(F.broadcast(kept))  # a row each
-    return both.select("valid", "invalid", (F.col("valid") - F.col("kept")).alias("deduped"), "skipped", (F.col("kept") - F.col("skipped")).alias("written"))
+    kept, known = F.count_if(F.col("good") > 0), F.count_if((F.col("good") > 0) & F.col("__have"))
+    valid, none = F.coalesce(F.sum("good"), F.lit(0)), F.lit(0)
+    return by_key.join(have, key, "left").agg(valid.alias("valid"), F.coalesce(F.sum("bad"), none).alias("invalid"), (valid - kept).alias("deduped"), known.alias("skipped"), (kept - known).alias("written"))
 
 
 def observed(df: DataFrame, name: str = "refresh") -> tuple[DataFrame, Observation]:

@@ -116,6 +116,19 @@ def top_related(df: DataFrame, group: str, item: str, metric: str, n_groups: int
     return ranked.select(group, "group_total", F.col(item).alias("top_item"), F.col("item_total").alias("top_item_total"))
 
 
+def top_with_best(df: DataFrame, group: str, items: list[str], metric: str, n_groups: int = 10) -> DataFrame:
+    """The groups with the highest total of a metric, each with its best value of every item column: ``top_x`` and
+    ``top_x_total``; ties go to the smaller value.  What does not belong to a leading group is dropped before it is
+    counted by item."""
+    totals = top(df.groupBy(group).agg(F.sum(metric).alias("group_total")), "group_total", n_groups, group)
+    inside = df.join(F.broadcast(totals.select(group)), group)  # at most n_groups rows
+    for item in items:
+        each = inside.groupBy(group, item).agg(F.sum(metric).alias("n"))
+        best = each.groupBy(group).agg(F.min_by(F.struct(F.col(item).alias("v"), "n"), F.struct(-F.col("n"), F.col(item))).alias("b"))
+        totals = totals.join(best.select(group, F.col("b.v").alias(f"top_{item}"), F.col("b.n").alias(f"top_{item}_total")), group, "left")
+    return totals
+
+
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """One page with ``has_next``; one row more is read than shown."""
     more = df.orderBy(*order).offset((number - 1) * size).limit(size + 1)
@@ -151,7 +164,7 @@ def with_total(page_rows: DataFrame, listing: DataFrame) -> DataFrame:
 
 def search_all(df: DataFrame, text: str) -> DataFrame:
     """Rows in which any column, as text, holds the words."""
-    return df.where(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])).contains(text.lower()))
+    return df.where(F.lower(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in df.columns])).contains(text.lower()))
 
 
 def column_totals(df: DataFrame, most: int = 4) -> DataFrame:

@@ -258,14 +258,10 @@ def oracle_sql() -> dict[str, str]:
         "accent_fold": f"SELECT doc_id, md5({_FOLD}) AS folded, CAST(length(trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g'))) AS BIGINT) AS n FROM documents",
         "session_titles": "SELECT conv_id, turn, CASE WHEN length(t) > 80 THEN substring(t, 1, 77) || '...' ELSE t END AS title FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)",
         "fuzzy_levenshtein": f"{_ASK}, c AS (SELECT DISTINCT typo, ft FROM fold), v AS (SELECT DISTINCT brand, fb FROM fold) SELECT typo AS candidate, brand AS value, CAST(levenshtein(ft, fb) AS BIGINT) AS distance FROM c, v WHERE levenshtein(ft, fb) <= 2",
-        "anchor_ngrams": f"{_ASK} SELECT event_id, regexp_extract(ft, '^[a-z]+') AS phrases FROM fold",
-        "missing_result_fields": f"{_ASK} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'brand,view' END AS missing FROM fold",
         "session_rollup": f"{_LOG} SELECT session_id, count(*) AS run_count, arg_max(run_id, (created_at, run_id)) AS last_run_id, arg_max(status, (created_at, run_id)) AS last_status FROM lg GROUP BY 1",
         "turn_index": f"{_LOG} SELECT run_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, run_id) AS turn_index FROM lg",
         "session_last_k": "WITH k AS (SELECT *, concat_ws(': ', role, text) AS line FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, count(*) AS n_turns, md5(string_agg(line, chr(10) ORDER BY turn)) AS context, md5(last(line ORDER BY turn)) AS last_text FROM k GROUP BY 1",
         "favourite_runs": f"{_LOG} SELECT run_id, user_id, status, latency_ms FROM lg WHERE status = 'failed' AND 'Question ' || run_id ILIKE '%question 1%' AND created_at >= TIMESTAMP '2024-01-05' AND run_id % 11 = 0",
-        "error_classes": f"""{_LOG} SELECT CASE WHEN contains(e, 'guard') THEN 'sql_guard' WHEN contains(e, 'trino') THEN 'trino' WHEN contains(e, 'groq') THEN 'llm' WHEN contains(e, 'persistence failed') THEN 'persistence'
-            WHEN contains(e, 'metadata') THEN 'metadata' WHEN e = '' THEN 'unknown' ELSE 'other' END AS error_class, count(*) AS n FROM (SELECT lower(coalesce(error, '')) AS e FROM lg WHERE status = 'failed') GROUP BY 1""",
         "run_counters": f"{_LOG} SELECT CAST(created_at AS DATE) AS day, count(*) AS requests, round(100.0::DOUBLE * count(*) FILTER (status = 'success') / count(*), 6) AS success_pct, round(100.0::DOUBLE * count(*) FILTER (status = 'failed') / count(*), 6) AS error_pct, CAST(sum(retry_count) AS BIGINT) AS retries FROM lg GROUP BY 1",
         "status_counts": f"{_LOG} SELECT status, count(*) AS n, count(*) FILTER (status = 'success' AND latency_ms > 5000) AS slow FROM lg GROUP BY 1",
         "latency_histogram": f"{_HIST} SELECT status, le, n FROM h",

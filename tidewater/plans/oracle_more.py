@@ -5,6 +5,28 @@ from __future__ import annotations
 from tidewater.plans import oracle as base
 
 _LATE = "(day(kafka_ts) IN (5, 17) AND kafka_offset % 2 = 0)"
+_EXACT = "count(DISTINCT user_id) AS exact_users, count(DISTINCT session_id) AS exact_sessions, count(DISTINCT product_id) AS exact_products, true AS users_close, true AS sessions_close, true AS products_close"
+#: Lower case, without accents, with single blanks between words of letters and digits.
+_FOLD = "trim(regexp_replace(replace(strip_accents(lower({x})), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
+#: The same lists as the functions have.
+_STOPS = (
+    "ai bao bang cao cho co con cua doanh duoc giu hang hay hieu la loc luot mua nam nao nhan nhat nhieu ngay san sap theo "
+    "thang thu thuong top tong trong vao ve xem year month date revenue sales view views"
+).split()
+_ANCHORS = ["cua", "brand", "hang", "nhan hang", "thuong hieu"]
+_FIELDS = {"brand": ["brand", "nhan hang", "thuong hieu", "hang"], "product_id": ["san pham", "product"], "view": ["luot xem", "view"]}
+_ERRORS = {
+    "sql_guard": ["guard", "read-only", "readonly", "not allowed"], "trino": ["trino"], "llm": ["groq", "llm", "openai", "api key", "rate limit"],
+    "persistence": ["persistence failed"], "metadata": ["metadata"],
+}
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -15,11 +37,38 @@ def oracle_sql() -> dict[str, str]:
         "refreshed_daily_brand": f"{base.DAILY} SELECT * FROM db",
         "upserted_silver": f"{base.BASE} SELECT DISTINCT event_fingerprint, event_date, event_type, product_id, price FROM s WHERE is_valid",
         "upserted_quarantine": f"{base.BASE} SELECT DISTINCT source_event_id, invalid_reason FROM s WHERE NOT is_valid",
-        "upsert_commits": f"""{base.BASE}, f AS (SELECT event_fingerprint, event_date, min(CASE WHEN {_LATE} THEN 1 ELSE 0 END) AS batch FROM s WHERE is_valid GROUP BY 1, 2),
-            q AS (SELECT source_event_id, CASE WHEN {_LATE} THEN 1 ELSE 0 END AS batch FROM s WHERE NOT is_valid)
-            SELECT 'a' AS stream, batch_id::BIGINT AS batch_id, (SELECT count(*) FROM f WHERE batch = batch_id) AS written, (SELECT count(*) FROM q WHERE batch = batch_id) AS quarantined,
-                coalesce((SELECT string_agg(DISTINCT event_date::VARCHAR, ',' ORDER BY event_date::VARCHAR) FROM f WHERE batch = batch_id), '') AS days FROM (SELECT unnest([0, 1]) AS batch_id)
-            UNION ALL SELECT 'b', 0, 0, 0, ''""",
+        "upsert_commits": f"""{base.BASE}, n AS (SELECT *, CASE WHEN {_LATE} THEN 1 ELSE 0 END AS batch FROM s), f AS (SELECT event_fingerprint, event_date, min(batch) AS batch FROM n WHERE is_valid GROUP BY 1, 2),
+            c AS (SELECT batch, count(*) FILTER (is_valid) AS valid, count(*) FILTER (NOT is_valid) AS invalid, count(DISTINCT event_fingerprint) FILTER (is_valid) AS kept FROM n GROUP BY 1),
+            w AS (SELECT batch, count(*) AS written, string_agg(DISTINCT event_date::VARCHAR, ',' ORDER BY event_date::VARCHAR) AS days FROM f GROUP BY 1),
+            q AS (SELECT count(*) FILTER (is_valid) AS valid, count(*) FILTER (NOT is_valid) AS invalid, count(DISTINCT event_fingerprint) FILTER (is_valid) AS kept FROM n WHERE kafka_partition = 1)
+            SELECT 'a' AS stream, batch::BIGINT AS batch_id, valid, invalid, valid - kept AS deduped, kept - coalesce(written, 0) AS skipped, coalesce(written, 0) AS written, invalid AS quarantined, coalesce(days, '') AS days FROM c LEFT JOIN w USING (batch)
+            UNION ALL SELECT 'b', 0, valid, invalid, valid - kept, kept, 0, 0, '' FROM q""",
+        "bronze_increment": f"""{base.BASE}, m AS (SELECT * FROM raw WHERE kafka_offset < 1000000000)
+            SELECT kafka_partition AS "partition", count(*) AS rows, count(*) FILTER (kafka_partition < 2 AND kafka_offset <= (SELECT max(kafka_offset) // 2 FROM m)) AS first_run,
+                min(kafka_offset) AS least, max(kafka_offset) + 1 AS next_offset FROM m GROUP BY 1""",
+        "distinct_month": f"{base.BASE} SELECT {_EXACT} FROM en WHERE event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'",
+        "distinct_brand_month": f"{base.BASE} SELECT coalesce(brand, 'unknown') AS brand, {_EXACT} FROM en WHERE event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY 1",
+        "anchor_ngrams": f"""{base._ASK}, w AS (SELECT event_id, string_split({_FOLD.format(x="'Top ' || brand || ' của ' || typo || ' tháng 1'")}, ' ') AS w FROM q),
+            a AS (SELECT unnest({_list(_ANCHORS)}) AS anchor, unnest(range({len(_ANCHORS)})) AS nth),
+            m AS (SELECT event_id, w, i, nth, i + len(string_split(anchor, ' ')) AS p FROM w, unnest(range(1, len(w) + 1)) u(i), a
+                  WHERE w[i:i + len(string_split(anchor, ' ')) - 1] = string_split(anchor, ' ')),
+            g AS (SELECT event_id, i, nth, k, array_to_string(w[p:p + k], ' ') AS phrase FROM m, unnest([0, 1, 2]) v(k) WHERE p + k <= len(w)
+                  AND len(list_filter(w[p:p + k], lambda x: list_contains({_list(_STOPS)}, x) OR regexp_matches(x, '^[0-9]+$') OR x = '')) = 0),
+            f AS (SELECT event_id, phrase, min((i, nth, k)) AS place FROM g GROUP BY 1, 2)
+            SELECT w.event_id, coalesce(string_agg(phrase, '|' ORDER BY place), '') AS phrases FROM w LEFT JOIN f USING (event_id) GROUP BY 1""",
+        "missing_result_fields": f"""{base._ASK}, t AS (SELECT event_id, {_FOLD.format(x="'thương hiệu nào có lượt xem cao, Top ' || brand || ' của ' || typo || ' tháng 1'")} AS x,
+                CASE WHEN event_id % 2 = 0 THEN ['brand', 'revenue'] ELSE ['revenue'] END AS c FROM q)
+            SELECT event_id, concat_ws(',', {", ".join(f"CASE WHEN {_any('x', terms)} AND len(list_filter(c, lambda y: contains(lower(y), '{name}'))) = 0 THEN '{name}' END" for name, terms in _FIELDS.items())}) AS missing FROM t""",
+        "error_classes": f"""{base._LOG} SELECT CASE {" ".join(f"WHEN {_any('e', terms)} THEN '{name}'" for name, terms in _ERRORS.items())} WHEN e = '' THEN 'unknown' ELSE 'other' END AS error_class, count(*) AS n
+            FROM (SELECT lower(coalesce(error, '')) AS e FROM lg WHERE status = 'failed') GROUP BY 1""",
+        "top_brand_with_item_and_category": f"""{base.DAILY}, pr AS (SELECT brand, product_id, concat_ws('.', coalesce(category_l1, 'unknown'), category_l2, category_l3) AS category, view_count FROM dpr
+                WHERE coalesce(brand, 'unknown') <> 'unknown' AND year(event_date) = 2024),
+            gr AS (SELECT brand, sum(view_count)::BIGINT AS group_total FROM pr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8),
+            it AS (SELECT brand, product_id, sum(view_count)::BIGINT AS n FROM pr GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY brand ORDER BY n DESC, product_id) = 1),
+            ca AS (SELECT brand, category, sum(view_count)::BIGINT AS n FROM pr GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY brand ORDER BY n DESC, category) = 1)
+            SELECT gr.brand, group_total, it.product_id AS top_product_id, it.n AS top_product_id_total, ca.category AS top_category, ca.n AS top_category_total FROM gr JOIN it USING (brand) JOIN ca USING (brand)""",
+        "search_parts": "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(concat_ws(' ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)), 'brand#1')",
+        "search_categories": f"{base.DAILY} SELECT category_l1, category_l2, category_l3, total_events FROM dc WHERE total_events > 2 AND contains(lower(concat_ws(' ', category_l1, category_l2, category_l3, total_events::VARCHAR)), 'standard')",
         "first_hit_windows": f"""{base._LOG.replace("WITH lg", "WITH RECURSIVE lg")}, x AS (SELECT run_id, user_id, created_at, floor(epoch(created_at))::BIGINT AS e FROM lg),
             y AS (SELECT DISTINCT user_id, e FROM x), nx AS (SELECT a.user_id, a.e, min(b.e) AS n FROM y a JOIN y b ON a.user_id = b.user_id AND b.e >= a.e + 86400 GROUP BY 1, 2),
             w AS (SELECT user_id, min(e) AS s FROM y GROUP BY 1 UNION ALL SELECT w.user_id, nx.n FROM w JOIN nx ON nx.user_id = w.user_id AND nx.e = w.s),

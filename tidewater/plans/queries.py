@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import columns as fn
 from tidewater import schemas
-from tidewater.operators import alerts, catalog, clean, logs, matching, profile, quality, ratelimit, serving, star, summaries
+from tidewater.operators import alerts, catalog, clean, distinct, logs, matching, profile, quality, ratelimit, search, serving, star, summaries
 from tidewater.operators.refresh import DailyTables
 from tidewater.sources import fixtures as fx
 from tidewater.sources import tables
@@ -184,7 +184,25 @@ def upserted_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def upsert_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = upsert.commits(spark, f"{_incremental(spark, sf_dir)}/silver")
-    return found.select("stream", "batch_id", "written", "quarantined", F.concat_ws(",", F.transform("days", lambda d: d.cast("string"))).alias("days"))
+    return found.select("stream", "batch_id", "valid", "invalid", "deduped", "skipped", "written", "quarantined", F.concat_ws(",", F.transform("days", lambda d: d.cast("string"))).alias("days"))
+
+
+@_query
+def bronze_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over a message log that grows between them: what each partition has in Bronze, and the offsets stored."""
+
+    def make(path: str) -> None:
+        raw = fx.raw_events(spark, sf_dir).where("kafka_offset < 1000000000")
+        fields = ["event_time", "event_type", "product_id", "category_id", "category_code", "brand", "price", "user_id", "user_session"]
+        messages = raw.select(F.to_json(F.struct(*fields)).alias("value"), F.col("kafka_ts").alias("timestamp"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"))
+        half = raw.agg(F.floor(F.max("kafka_offset") / 2)).first()[0] or 0
+        for run, rows in (("first", messages.where((F.col("offset") <= half) & (F.col("partition") < 2))), ("second", messages.where((F.col("offset") > half) | (F.col("partition") >= 2)))):
+            tables.append_messages(rows, f"{path}/log", segment=100)
+            tables.ingest_messages(spark, f"{path}/log", f"{path}/offsets", "events", f"{path}/bronze", F.lit("2024-02-01" if run == "first" else "2024-02-02").cast("timestamp"), segment=100)
+
+    path = _layer(spark, sf_dir, "bronze-increment", make)
+    held = spark.read.schema(schemas.BRONZE).parquet(f"{path}/bronze").groupBy(F.col("kafka_partition").alias("partition")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.dayofmonth("ingested_at") == 1).alias("first_run"), F.min("kafka_offset").alias("least"))
+    return held.join(spark.read.parquet(f"{path}/offsets").select("partition", "next_offset"), "partition")
 
 
 # ---------------------------------------------------------------- star
@@ -247,6 +265,7 @@ _gold("top_brands", lambda g: serving.top(serving.brands(g.daily("brand"), exclu
 _gold("top_categories", lambda g: serving.top(serving.categories(g.daily("category")), "revenue", 10, "category_l1", "category_l2", "category_l3"))
 _gold("top_products", lambda g: serving.top(serving.products(g.daily("product")), "revenue", 10, "product_id"))
 _gold("top_brand_with_top_item", lambda g: serving.top_related(serving.between_dates(g.daily("product").where(fn.known_member(fn.or_unknown(F.col("brand")))), start="2024-01-01", end="2024-12-31"), "brand", "product_id", "view_count", 8))
+_gold("top_brand_with_item_and_category", lambda g: serving.top_with_best(serving.between_dates(g.daily("product").where(fn.known_member(fn.or_unknown(F.col("brand")))), start="2024-01-01", end="2024-12-31").withColumn("category", F.concat_ws(".", fn.or_unknown(F.col("category_l1")), "category_l2", "category_l3")), "brand", ["product_id", "category"], "view_count", 8))
 _gold("brands_by_views_year", lambda g: serving.top(serving.brands(serving.between_dates(g.daily("brand"), start="2024-01-01", end="2024-12-31"), True).select("brand", "views"), "views", 8, "brand"))
 _gold("brands_by_carts", lambda g: serving.top(serving.brands(g.daily("brand"), True).select("brand", "carts"), "carts", 4, "brand"))
 _gold("brands_latest_month", lambda g: serving.top(serving.brands(serving.latest_month(g.daily("brand"))).select("brand", "revenue"), "revenue", 10, "brand"))
@@ -267,6 +286,43 @@ _gold("event_totals", lambda g: g.events.rollup("event_type").agg(F.count(F.lit(
 _gold("brand_not_filter", lambda g: g.daily("brand").where(fn.ci_not_equals(F.col("brand"), " BRAND#1 ")).select("event_date", "brand", "view_count"))
 
 
+def _month(g: Gold, *keys: str) -> DataFrame:
+    """Distinct counts of January from the sketches of its days, and whether they are as near to the exact ones as stated."""
+    sketches = g._stored("daily_sketches" + "".join(f"_{k}" for k in keys), lambda: distinct.daily_sketches(summaries.with_product(g.events, g.product).withColumn("brand", fn.or_unknown(F.col("brand"))), *keys))
+    near = distinct.united(sketches, *keys, start="2024-01-01", end="2024-01-31")
+    exact = summaries.with_product(serving.between_dates(g.events, start="2024-01-01", end="2024-01-31"), g.product).withColumn("brand", fn.or_unknown(F.col("brand")))
+    names = list(distinct.MEASURES)
+    exact = exact.groupBy(*keys).agg(*[F.count_distinct(distinct.MEASURES[n]).alias(f"exact_{n}") for n in names])
+    both = near.join(exact, list(keys)) if keys else near.crossJoin(F.broadcast(exact))  # one row each
+    close = [(F.abs(F.col(n) - F.col(f"exact_{n}")) <= F.ceil(F.col(f"exact_{n}") * distinct.BOUND)).alias(f"{n}_close") for n in names]
+    return both.select(*keys, *[f"exact_{n}" for n in names], *close)
+
+
+_gold("distinct_month", lambda g: _month(g))
+_gold("distinct_brand_month", lambda g: _month(g, "brand"))
+
+
+@_query
+def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that hold a text in any column, by the trigram index."""
+
+    def make(path: str) -> None:
+        search.TrigramIndex.write(fx.table(spark, sf_dir, "part"), path)
+
+    return search.TrigramIndex(spark, _layer(spark, sf_dir, "part-index", make)).search("Brand#1").select("p_partkey", "p_name", "p_brand")
+
+
+@_query
+def search_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``search_rows``, by the trigram index."""
+
+    def make(path: str) -> None:
+        rows = Gold(spark, sf_dir).daily("category").select("category_l1", "category_l2", "category_l3", "total_events").where("total_events > 2")
+        search.TrigramIndex.write(rows, path)
+
+    return search.TrigramIndex(spark, _layer(spark, sf_dir, "category-index", make)).search("STANDARD")
+
+
 @_query
 def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.last_n(fx.query_log(spark, sf_dir).select("run_id", "user_id", "status"), "run_id", 50)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +47,61 @@ def starting_offsets(offsets: DataFrame, topic: str) -> Column:
     return offsets.where(F.col("topic") == topic).agg(F.to_json(F.create_map(F.lit(topic), held)).alias("starting_offsets"))
 
 
+#: Offsets of a message log that share a folder.
+SEGMENT = 1_000_000
+
+
+def append_messages(messages: DataFrame, path: str, segment: int = SEGMENT) -> None:
+    """Adds messages (value, timestamp, partition, offset) to a log below ``path``: a folder for each partition and
+    segment of ``segment`` offsets, as a reader that begins at an offset needs them."""
+    placed = messages.withColumns({"log_partition": F.col("partition"), "log_segment": F.floor(F.col("offset") / segment)})
+    placed.write.mode("append").partitionBy("log_partition", "log_segment").parquet(path)
+
+
+def messages_from(spark: SparkSession, path: str, stored: DataFrame | None, topic: str, segment: int = SEGMENT) -> DataFrame | None:
+    """The messages of a log from the stored offsets on; partitions without one from their start; None without a log.
+
+    The offsets (a row per partition) become filters on the folders, so segments that lie below are not listed for
+    reading, and on the offsets themselves, which the row groups' statistics skip by.
+    """
+    log = read_or_none(spark, path)
+    if log is None or stored is None:
+        return None if log is None else log.drop("log_partition", "log_segment")
+    at = {r["partition"]: r["next_offset"] for r in stored.where(F.col("topic") == topic).select("partition", "next_offset").collect()}
+    part, seg = F.col("log_partition"), F.col("log_segment")
+    folders, rows = ~part.isin(list(at)), ~F.col("partition").isin(list(at))
+    for p, o in at.items():
+        folders |= (part == p) & (seg >= o // segment)
+        rows |= (F.col("partition") == p) & (F.col("offset") >= o)
+    found = log.where(folders & rows) if at else log
+    return found.drop("log_partition", "log_segment")
+
+
+def ingest_messages(spark: SparkSession, log_path: str, offsets_path: str, topic: str, bronze_path: str, ingested_at: Column | None = None, segment: int = SEGMENT) -> int:
+    """Appends what is new in a message log to Bronze and moves the stored offsets on; the number of rows.  Offsets are
+    written last: a run that breaks off is repeated from the old ones (Silver tells repeats by content)."""
+    stored = read_or_none(spark, offsets_path, schemas.OFFSETS)
+    new = messages_from(spark, log_path, stored, topic, segment)
+    if new is None:
+        return 0
+    parsed = bronze(new, ingested_at)
+    seen = Observation()
+    write_partitioned(parsed.observe(seen, F.count(F.lit(1)).alias("n")), bronze_path, "date_partition")
+    if n := seen.get["n"]:
+        high = next_offsets(new.select(F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset")), topic, stored)
+        others = [] if stored is None else [tuple(r) for r in stored.where(F.col("topic") != topic).collect()]
+        rows = [tuple(r) for r in high.collect()] + others  # a row per partition
+        spark.createDataFrame(rows, schemas.OFFSETS).coalesce(1).write.mode("overwrite").parquet(offsets_path)
+    return n
+
+
 # ---------------------------------------------------------------- folders
 
 
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None, merge: bool = False) -> DataFrame | None:
     """A Parquet folder, or None where it is missing or cannot be read."""
+    if not exists(spark, path):
+        return None
     try:
         reader = spark.read.option("mergeSchema", merge)
         return (reader.schema(schema) if schema is not None else reader).parquet(path)
@@ -70,6 +120,13 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or one that it is a pattern of, is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
