@@ -435,3 +435,18 @@ def test_mixture_of_odd_weights(spark):
     got = np.cumsum(np.array([at[s] for s in names]), axis=1).T
     target = mixing.fluid(n, np.array([weights[s] for s in names]), np.arange(1, slots + 1))
     assert (np.abs(got - target) * (block // 2) < block).all() and np.allclose(got.sum(axis=1), np.arange(1, slots + 1))
+
+
+def test_warc_sql_with_null_ids(spark, tmp_path):
+    """The query and its SQL agree on null ids, equal payloads around the limit, and repeated rows."""
+    import duckdb
+
+    from tidewater.llm import queries
+
+    rows = [(None, "u", "x" * 1000), (3, "u", "x" * 1000), (1, "u", "x" * 1000), (None, "u", "y" * 1500), (None, "v", "y" * 1500), (4, "u", "z" * 999), (None, "u", "z" * 999), (5, "u", None), (6, "u", "é" * 500), (7, "u", "é" * 500), (7, "u", "é" * 500)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = queries.op6_warc(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()['op6_warc']})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want))

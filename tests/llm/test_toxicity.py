@@ -93,6 +93,8 @@ def test_untrained(spark):
         got = toxicity.score(docs, toxicity.fit(frame(spark, rows)), ["doc_id"]).first()
         assert 0 <= got["score"] <= 1 and (want is None or got["score"] == want)
     assert toxicity.score(docs.where("false"), trained(spark), ["doc_id"]).collect() == []
+    # labels of both kinds, but of no document
+    assert toxicity.score(docs, toxicity.fit(frame(spark, []), sizes={0: 3, 1: 2}), ["doc_id"]).first()["score"] == 0.0
 
 
 def test_held_out_quality(spark):

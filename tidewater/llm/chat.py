@@ -14,8 +14,8 @@ Each input turn gives one row with its piece of the rendering; the pieces of a c
 order of ``position`` are the rendered sequence (``rendered`` joins them).
 
 Roles are trimmed and lower-cased; other or null roles are unknown and cheap to relabel.  A null
-text is an empty one.  Turns are ordered by ``turn`` (nulls last), then role and text; repeated rows
-are turns of their own.  Rows with a null ``conv_id`` form one conversation.  The template's marks
+text is an empty one.  Turns are ordered by ``turn`` (nulls last), then role, a hash of the text and the text;
+repeated rows are turns of their own.  Rows with a null ``conv_id`` form one conversation.  The template's marks
 in a text are broken by a space.  Extra columns are ignored.  An empty table gives no rows.
 """
 

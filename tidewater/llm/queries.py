@@ -181,8 +181,8 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, max(page_id) OVER (PARTITION BY html) AS chosen FROM p
             )
             SELECT page_id, payload_bytes, payload_digest,
-                   CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN 'revisit' ELSE 'response' END AS record_type,
-                   CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN chosen END AS refers_to
+                   CASE WHEN payload_bytes >= 1000 AND chosen IS NOT NULL AND page_id IS DISTINCT FROM chosen THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND chosen IS NOT NULL AND page_id IS DISTINCT FROM chosen THEN chosen END AS refers_to
             FROM m""",
         "op8_topk": """
             WITH v AS (

@@ -278,6 +278,8 @@ def fit(rows: DataFrame, sample_per_label: int = 6000, max_units: int = MAX_UNIT
         return Model(*_table(counts["unit"], counts["parent"], counts["kind"], toxic, clean, base)) if len(counts["unit"]) else Model()
 
     histogram, found = _scored_sample(sample, [table(0), table(1)], 4 * sample_per_label)
+    if not len(found["n"]):
+        return Model()
     model = table(0, 1)
     model.scale = extreme_scale(histogram)
     clean = [(max(s), n) for t, n, s in zip(found["toxic"], found["n"], found["scores"], strict=True) if t == 0 and s]

@@ -10,8 +10,8 @@ its own, and beside it a sidecar index (offset, length, id, type, digest).
 Files are written under a temporary name and moved when complete; a lost or repeated task writes
 new files, and only those named in its rows are read.  Digests are SHA-1 in lower-case hex.
 
-Nulls: a null payload is an empty one; a null id makes its record a response that nothing refers to
-unless all ids of the group are null.  Repeated rows are each a record; those with the largest id
+Nulls: a null payload is an empty one.  A null id is smaller than any other: its record revisits the
+group's response, and is itself a response where all ids of the group are null.  Repeated rows are each a record; those with the largest id
 are all responses.  Extra columns are ignored.  An empty table gives no files and no rows.
 """
 
