@@ -14,7 +14,7 @@ from tidewater.operators import alerts, catalog, clean, distinct, logs, matching
 from tidewater.operators.refresh import DailyTables
 from tidewater.sources import fixtures as fx
 from tidewater.sources import tables
-from tidewater.sources.scratch import shared_path
+from tidewater.sources.scratch import drop_at_exit, shared_path
 from tidewater.streaming import upsert
 from tidewater.streaming.rates import sliding_quantiles
 
@@ -47,6 +47,7 @@ def _layer(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], ob
         tables.remove(spark, path)
     path = shared_path(spark, f"gold-{name}")
     make(path)
+    drop_at_exit(spark, path)
     _LAYERS[key] = (stamp, path)
     return path
 

@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, removed when the application ends.  Where that is unset a session on
-    one machine, as in tests, takes a folder of its own; a cluster needs the setting."""
+    """A new path below ``spark.checkpoint.dir``.  Where that is unset a session on one machine, as in tests, takes a
+    folder of its own; a cluster needs the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """A folder that is there goes when the application ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written and read again: its lineage ends there."""
+    """``df`` written and read again: its lineage ends there.  The table goes when the application ends."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
