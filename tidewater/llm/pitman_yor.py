@@ -322,10 +322,13 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 def _log_gamma_ratio(c: np.ndarray, a: np.ndarray) -> np.ndarray:
     """log of Gamma(c - a) / Gamma(c + 1), without the difference of two large numbers."""
     x, y = c - a, c + 1.0
-    far = np.minimum(x, y) > 40
-    x1, y1 = np.where(far, x, 50.0), np.where(far, y, 50.0)
-    tail = lambda z: 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
-    close = (x1 - 0.5) * np.log1p((x1 - y1) / y1) + (x1 - y1) * np.log(y1) - (x1 - y1) + tail(x1) - tail(y1)
+    far = x > 40
+    every = bool(far.all())
+    x1, y1 = (x, y) if every else (np.where(far, x, 50.0), np.where(far, y, 50.0))
+    tail = lambda z: (1 / 12 - (1 / 360) / (z * z)) / z
+    close = (x1 - 0.5) * np.log1p(-(a + 1.0 if every else y1 - x1) / y1) + (x1 - y1) * (np.log(y1) - 1) + tail(x1) - tail(y1)
+    if every:
+        return close
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(far, close, _log_gamma(np.maximum(x, 1e-3)) - _log_gamma(y))
 
@@ -381,7 +384,7 @@ class Stirling:
 
     def _terms(self, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of the sum of the series, and of its largest term."""
-        k = np.arange(1, 301)
+        k = np.arange(1, min(300, int(t.max(initial=1))) + 1)
         within = k[None, :] <= t[:, None]
         choose = np.cumsum(np.log(np.maximum(t[:, None] - k[None, :] + 1, 1e-9)) - np.log(k)[None, :], axis=1)
         size = choose + np.array([math.lgamma(self.d * x + 1) for x in k])[None, :] + _log_gamma_ratio(c[:, None], self.d * k[None, :]) - math.log(math.pi)
