@@ -149,10 +149,11 @@ SILVER_OUT = "source_event_id, event_fingerprint, event_date, event_year, event_
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.plans import oracle_more
+    from tidewater.plans import oracle_more, oracle_stored
 
     return {
         **oracle_more.oracle_sql(),
+        **oracle_stored.oracle_sql(),
         "bronze_parse": f"{BASE} SELECT event_time, event_type, product_id, category_id, category_code, brand, price, user_id, user_session, kafka_partition, kafka_offset, CAST(kafka_ts AS DATE) AS date_partition FROM raw",
         "offset_high_water": f"""{BASE}, old AS (SELECT kafka_partition AS p, max(kafka_offset) + 1 AS o FROM raw WHERE kafka_offset < 1000000000 AND kafka_partition < 2 GROUP BY 1),
             new AS (SELECT kafka_partition AS p, max(kafka_offset) + 1 AS o FROM raw WHERE kafka_partition > 0 GROUP BY 1)

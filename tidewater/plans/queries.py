@@ -563,4 +563,6 @@ def table_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from tidewater.plans import stored
+
+    return {**_QUERIES, **stored.queries()}
