@@ -90,6 +90,14 @@ def _encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return s.row, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.cast(pa.binary())
 
 
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the values of a binary column, and their bytes."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or bounds[-1] == bounds[0]:
+        return np.zeros(len(column) + 1, np.int32), np.zeros(0, np.uint8)
+    return bounds - bounds[0], np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+
+
 class Contexts:
     """What names a restaurant: the words that have one of their own, the most frequent first.  Their
     entries are dealt into ``parts``, those of the first ``hot`` by context as well."""
@@ -97,25 +105,18 @@ class Contexts:
     def __init__(self, words: pa.Array, parts: int = LEAST_PARTS, hot: int = 0):
         self.words, self.parts, self.hot = words.cast(pa.binary()), parts, hot
         self.size = len(words) + CLASSES
-        self._rank: dict[bytes, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_rank": None}
 
     def part(self, rank: np.ndarray, context: np.ndarray) -> np.ndarray:
         return np.where(rank < self.hot, rank + context, rank) % self.parts
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Rank of every word (-1: none of its own), and the context that it is to the next word."""
-        if self._rank is None:
-            self._rank = {w: i for i, w in enumerate(self.words.to_pylist())}
-        get = self._rank.get
-        rank = np.array([get(w, -1) for w in words], np.int64)
-        other = np.flatnonzero(rank < 0)
-        last = np.array([words[i][-1] if words[i] else 0 for i in other.tolist()], np.int64)
-        context = rank.copy()
-        context[other] = len(self.words) + _CLASS[last]
-        return rank, context
+        rank = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds, data = _binary(words)
+        last = np.zeros(len(words), np.int64)
+        some = np.flatnonzero(np.diff(bounds))
+        last[some] = data[bounds[some + 1] - 1]
+        return rank, np.where(rank < 0, len(self.words) + _CLASS[last], rank)
 
 
 def _entries_of(texts: list[bytes], contexts: Contexts, by_row: bool) -> Iterator[tuple]:
@@ -123,19 +124,19 @@ def _entries_of(texts: list[bytes], contexts: Contexts, by_row: bool) -> Iterato
     ``by_row``) and count.  The group is the part of a word with a context of its own, else
     the number of parts + the word's place.  The end token is the empty word."""
     row, code, words = _encoded(texts)
-    rank, context = contexts.of([*words.to_pylist(), b""])
+    words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
+    rank, context = contexts.of(words)
     start, first = len(contexts.words), np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
     before = np.where(first, start, context[np.concatenate((code[:1], code[:-1]))])
     closing = np.full(len(texts), start)
     closing[row] = context[code]  # the last word of a text is assigned last
-    words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
     row, code, ctx = np.concatenate([row, np.arange(len(texts))]), np.concatenate([code, np.full(len(texts), len(words) - 1)]), np.concatenate([before, closing])
     for lo in range(0, len(row), CHUNK_TOKENS):
         r, k, g = row[lo : lo + CHUNK_TOKENS] * by_row, code[lo : lo + CHUNK_TOKENS], ctx[lo : lo + CHUNK_TOKENS]
-        width, depth = contexts.size, int(r.max()) + 1
-        entry, n = np.unique((k * depth + r) * width + g, return_counts=True)
-        k, r, g = entry // (width * depth), entry // width % depth, entry % width
+        low, high = contexts.size.bit_length(), contexts.size.bit_length() + int(r.max()).bit_length()
+        entry, n = np.unique(k << high | r << low | g, return_counts=True)
+        k, r, g = entry >> high, entry >> low & (1 << high - low) - 1, entry & (1 << low) - 1
         mine = rank[k]
         group = np.where(mine < 0, contexts.parts + k, contexts.part(mine, g))
         order = np.argsort(group, kind="stable")
@@ -152,13 +153,27 @@ def _pieces(found: tuple, parts: int, kinds: tuple[type, ...]) -> tuple[list[str
     return [_part_key(p) for p in group[begin].tolist()], [_packed([x[lo:hi] for x in columns]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
 
 
-def _rest(found: tuple, parts: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Rarer words, the offsets of their entries, and the entries' contexts, texts and counts."""
+def _rest(found: tuple, parts: int, by_row: bool) -> tuple[pa.Array, pa.Array]:
+    """Rarer words, and of each its entries' contexts, counts and (if ``by_row``) texts."""
     words, group, k, _, g, r, n = found
     lo = int(np.searchsorted(group, parts))
     k = k[lo:]
     begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return words.take(pa.array(k[begin])).cast(pa.string()), pa.array(np.append(begin, len(k)).astype(np.int32)), g[lo:], r[lo:], n[lo:]
+    columns = (g[lo:], n[lo:], r[lo:]) if by_row else (g[lo:], n[lo:])
+    return words.take(pa.array(k[begin])).cast(pa.string()), _rows(np.append(begin, len(k)), *columns)
+
+
+def _rows(bounds: np.ndarray, *columns: np.ndarray) -> pa.Array:
+    """Binary values that hold the rows of some columns, four bytes a number, from bound to bound."""
+    data = np.stack([x if x.dtype == np.int32 else x.view(np.int32) if x.dtype == np.float32 else x.astype(np.int32) for x in columns], 1)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * (4 * len(columns))).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What ``_rows`` packed: of each row the place of its value, and the columns, all as int32."""
+    bounds, data = _binary(column)
+    table = np.frombuffer(data.tobytes(), np.int32).reshape(-1, width)
+    return np.repeat(np.arange(len(column)), np.diff(bounds) // (4 * width)), [np.ascontiguousarray(x) for x in table.T]
 
 
 def _packed(arrays: list[np.ndarray]) -> bytes:
@@ -245,16 +260,15 @@ def count_pairs(docs: DataFrame, contexts: Contexts) -> DataFrame:
         for _, texts in _slices(batches, 0):
             for found in _entries_of(texts, shared.value, False):
                 keys, blobs = _pieces(found, shared.value.parts, _COUNTED)
-                none = pa.nulls(len(keys), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(blobs, pa.binary()), none, none], ["w", "blob", "ctx", "n"])
-                w, offsets, g, _, n = _rest(found, shared.value.parts)
-                yield pa.RecordBatch.from_arrays([w, pa.nulls(len(w), pa.binary()), _lists(offsets, g, np.int32), _lists(offsets, n, np.int32)], ["w", "blob", "ctx", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(blobs, pa.binary())], ["w", "blob"])
+                yield pa.RecordBatch.from_arrays([*_rest(found, shared.value.parts, False)], ["w", "blob"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last rarer word so far: its row, contexts and counts
         part, keys, counts = None, [], []  # the part so far
         for b in batches:
-            packed = b.filter(pc.is_valid(b.column(1)))
+            inner = pc.starts_with(b.column(0), " ")
+            packed = b.filter(inner)
             for key, blob in zip(packed.column(0).to_pylist(), packed.column(1).to_pylist(), strict=True):
                 if key != part:
                     yield from whole(keys, counts)
@@ -264,11 +278,11 @@ def count_pairs(docs: DataFrame, contexts: Contexts) -> DataFrame:
                 counts.append(n)
                 if sum(map(len, keys)) > _HELD + 2 * len(keys[0]):
                     keys, counts = ([x] for x in added(keys, counts))
-            b = b.filter(pc.is_null(b.column(1)))
+            b = b.filter(pc.invert(inner))
             if not b.num_rows:
                 continue
             group = _runs(b, (0,))
-            (g, row), n = _entries(b.column(2)), b.column(3).flatten().to_numpy(zero_copy_only=False)
+            row, (g, n) = _numbers(b.column(1), 2)
             if held is not None and not held[0].column(0)[0].equals(b.column(0)[0]):
                 yield listed(held[0].column(0), np.zeros(len(held[1]), np.int64), held[1], held[2])
                 held = None
@@ -300,7 +314,7 @@ def count_pairs(docs: DataFrame, contexts: Contexts) -> DataFrame:
         rank = np.full(len(w), -1) if rank is None else rank
         return pa.RecordBatch.from_arrays([w, pa.array(rank.astype(np.int32)), _lists(offsets, g, np.int32), _lists(offsets, n, np.int64)], ["w", "rank", "ctx", "n"])
 
-    sent = docs.select(F.col("text").cast("string")).mapInArrow(run, "w string, blob binary, ctx array<int>, n array<int>")
+    sent = docs.select(F.col("text").cast("string")).mapInArrow(run, "w string, blob binary")
     merged = settled(sent.repartition("w").sortWithinPartitions("w").mapInArrow(merge, "w string, rank int, ctx array<int>, n array<long>"), "lm-counts")
     hot = F.col("rank").between(0, contexts.hot - 1)
     joined = merged.where(hot).groupBy("w", "rank").agg(F.flatten(F.collect_list(F.arrays_zip("ctx", "n"))).alias("x"))  # at most a count per context
@@ -433,8 +447,9 @@ def draw_tables(at: np.ndarray, c: np.ndarray, t: np.ndarray, fresh: np.ndarray,
     """Tables of c >= 1 customers of one dish, from their conditional, ``t`` before; ``fresh`` is the
     weight of a new table, (strength + discount * tables) * parent's probability.  ``at`` names the draws."""
     t = np.minimum(t, c)
-    u = draws.next(at)
     small = np.flatnonzero((c > 1) & (c <= DIRECT))
+    u = np.zeros(len(at))
+    u[small] = draws.next(at[small])
     small = small[np.argsort(c[small].astype(np.int8), kind="stable")]
     for part in np.split(small, np.flatnonzero(np.diff(c[small])) + 1) if len(small) else []:
         size = int(c[part[0]])
@@ -447,6 +462,7 @@ def draw_tables(at: np.ndarray, c: np.ndarray, t: np.ndarray, fresh: np.ndarray,
         n, now, log_fresh = c[large], t[large], np.log(fresh[large])
         width = np.ceil(2 * np.sqrt(1 + fresh[large] * np.log1p(n / (1 + fresh[large])))).astype(np.int64)
         value = stirling.log(n, now) + now * log_fresh
+        calls, draws.count = draws.count, draws.count << 20  # counted apart: no draw depends on what else is in the block
         for _ in range(MOVES):
             to = now + np.floor(draws.next(at[large]) * (2 * width + 1)).astype(np.int64) - width
             good = (to >= 1) & (to <= n)
@@ -455,6 +471,7 @@ def draw_tables(at: np.ndarray, c: np.ndarray, t: np.ndarray, fresh: np.ndarray,
             take = np.log(np.maximum(draws.next(at[large]), 1e-300)) < other - value
             now, value = np.where(take, to, now), np.where(take, other, value)
         t[large] = now
+        draws.count = calls
     return np.where(c == 1, 1, t)
 
 
@@ -475,13 +492,15 @@ class Sweeps:
 
     def run(self, k: np.ndarray, g: np.ndarray, c: np.ndarray, word: np.ndarray):
         """Per entry the mean tables; per word the parent's customers and tables, means of both."""
-        tot, n = self.totals, len(k)
+        tot, words = self.totals, len(k)
+        many = np.bincount(word, c, words) > 1  # a word that occurs once has one table everywhere
+        n, k, place = int(many.sum()), k[many], np.cumsum(many) - 1
         d, d0 = tot.discount
         fresh0 = np.full(n, (tot.strength[1] + d0 * tot.parent_tables) / (tot.types + 1))
         whole = tot.strength[1] + float(tot.tables.sum())
         at = np.flatnonzero(c > 1)  # one customer has one table
-        g, cs, ws = g[at], c[at], word[at]
-        lone = np.bincount(word, minlength=n) - np.bincount(ws, minlength=n)
+        g, cs, ws = g[at], c[at], place[word[at]]
+        lone = np.bincount(word, minlength=words)[many] - np.bincount(ws, minlength=n)
         fresh = tot.strength[0] + d * tot.tables[g]
         tables, tables0 = np.maximum(1, np.round(cs.astype(np.float64) ** (d / 2))).astype(np.int64), np.ones(n, np.int64)
         parent = lone + np.bincount(ws, tables, n).astype(np.int64)
@@ -500,7 +519,9 @@ class Sweeps:
                     total += x
         mean = np.ones(len(c))
         mean[at] = sums[0] / self.keep
-        return mean, sums[1] / self.keep, sums[2] / self.keep
+        customers0, mean0 = np.ones(words), np.ones(words)
+        customers0[many], mean0[many] = sums[1] / self.keep, sums[2] / self.keep
+        return mean, customers0, mean0
 
 
 _STATS = "k int, v double"
@@ -627,9 +648,8 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     names, carry = carry, [f"__c{i}" for i in range(len(carry))]  # no name of the input meets one used here
     kept = docs.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], F.col("text").cast("string").alias("text"))
     carried = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
-    ints = pa.list_(pa.int32())
-    kinds = {"w": pa.string(), "kind": pa.int8(), "at": pa.int64(), "p0": pa.float64(), "blob": pa.binary(), "ctx": ints, "e": pa.list_(pa.float32()), "row": ints, "n": ints}
-    fields = ["w string", "kind tinyint", "at long", "p0 double", "blob binary", "ctx array<int>", "e array<float>", "row array<int>", "n array<int>"]
+    kinds = {"w": pa.string(), "kind": pa.int8(), "at": pa.int64(), "p0": pa.float64(), "blob": pa.binary()}
+    fields = ["w string", "kind tinyint", "at long", "p0 double", "blob binary"]
 
     def made(size: int, kind: int, more: dict[str, pa.DataType], **given: pa.Array) -> pa.RecordBatch:
         given["kind"] = pa.array(np.full(size, kind, np.int8))
@@ -659,12 +679,12 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                 mine -= b.num_rows
                 if b.num_rows:
                     key = pa.array([f" {first + before} {i >> 9}" for i in place.tolist()], pa.string())
-                    yield made(b.num_rows, 2, more, w=key, at=pa.array(np.full(b.num_rows, first + before)), row=_lists(pa.array(np.arange(b.num_rows + 1, dtype=np.int32)), place, np.int32), **{c: b.column(i) for i, c in enumerate(carry)})
+                    yield made(b.num_rows, 2, more, w=key, at=pa.array(np.full(b.num_rows, first + before)), blob=_rows(np.arange(b.num_rows + 1), place), **{c: b.column(i) for i, c in enumerate(carry)})
             for found in _entries_of(texts, contexts, True):
                 keys, blobs = _pieces(found, contexts.parts, _PLACED)
                 yield made(len(keys), 1, more, w=pa.array(keys, pa.string()), at=pa.array(np.full(len(keys), first + before)), blob=pa.array(blobs, pa.binary()))
-                w, offsets, g, r, n = _rest(found, contexts.parts)
-                yield made(len(w), 1, more, w=w, at=pa.array(np.full(len(w), first + before)), ctx=_lists(offsets, g, np.int32), row=_lists(offsets, r, np.int32), n=_lists(offsets, n, np.int32))
+                w, blob = _rest(found, contexts.parts, True)
+                yield made(len(w), 1, more, w=w, at=pa.array(np.full(len(w), first + before)), blob=blob)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The model's rows (kind 0) where they are asked for: by word, or by part with the rank."""
@@ -675,14 +695,15 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                 part = b.take(pa.array(some))
                 own = len(some) and rank[some[0]] >= 0
                 key = pa.array([_part_key(x) for x in contexts.part(rank[some], rank[some]).tolist()], pa.string()) if own else part.column(0)
-                yield made(len(some), 0, {}, w=key, at=part.column(1).cast(pa.int64()) if own else part.column(2), p0=part.column(3), ctx=part.column(4), e=part.column(5))
+                bounds = part.column(4).offsets.to_numpy(zero_copy_only=False)
+                g, e = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5))
+                yield made(len(some), 0, {}, w=key, at=part.column(1).cast(pa.int64()) if own else part.column(2), p0=part.column(3), blob=_rows(bounds, g, e))
             for i in np.flatnonzero((rank >= 0) & (rank < contexts.hot)).tolist():
                 g, e = b.column(4)[i].values.to_numpy(zero_copy_only=False), b.column(5)[i].values.to_numpy(zero_copy_only=False)
                 to = contexts.part(rank[i], g.astype(np.int64))
                 order = np.argsort(to, kind="stable")
                 parts_, begin = np.unique(to[order], return_index=True)
-                offsets = pa.array(np.append(begin, len(g)).astype(np.int32))
-                yield made(len(parts_), 0, {}, w=pa.array([_part_key(x) for x in parts_.tolist()], pa.string()), at=pa.array(np.full(len(parts_), rank[i], np.int64)), ctx=_lists(offsets, g[order], np.int32), e=_lists(offsets, e[order], np.float32))
+                yield made(len(parts_), 0, {}, w=pa.array([_part_key(x) for x in parts_.tolist()], pa.string()), at=pa.array(np.full(len(parts_), rank[i], np.int64)), blob=_rows(np.append(begin, len(g)), g[order], e[order]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by slice (a packed row) and the documents' rows.  Of a key the model's rows come first."""
@@ -714,8 +735,8 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                     last_part, held = key, none
                 m = run.slice(0, int((kind == 0).sum()))
                 if m.num_rows:
-                    g, row = _entries(m.column(5))
-                    entry, e = m.column(2).to_numpy(zero_copy_only=False)[row] * width + g, m.column(6).flatten().to_numpy(zero_copy_only=False)
+                    row, (g, e) = _numbers(m.column(4), 2)
+                    entry, e = m.column(2).to_numpy(zero_copy_only=False)[row] * width + g, e.view(np.float32)
                     entry, e = np.concatenate([held[2], entry]), np.concatenate([held[3], e])
                     order = np.argsort(entry, kind="stable")
                     held = (0.0, unseen, entry[order], e[order])
@@ -734,22 +755,22 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             if len(ours):
                 m, at = b.take(pa.array(ours)), group[ours]
                 count[at], p0[at] = m.column(2).to_numpy(zero_copy_only=False), m.column(3).to_numpy(zero_copy_only=False)
-                g, row = _entries(m.column(5))
-                key, e = np.concatenate([key, at[row] * width + g]), np.concatenate([e, m.column(6).flatten().to_numpy(zero_copy_only=False)])
+                row, (g, values) = _numbers(m.column(4), 2)
+                key, e = np.concatenate([key, at[row] * width + g]), np.concatenate([e, values.view(np.float32)])
             tail = int(np.searchsorted(key, (groups - 1) * width))
             last, here = b.column(0)[-1].as_py(), (count[-1], p0[-1], key[tail:] - (groups - 1) * width, e[tail:])
             asked = np.flatnonzero(kind == 1)
             if len(asked):
                 m = b.take(pa.array(asked))
-                g, row = _entries(m.column(5))
+                row, (g, n, place) = _numbers(m.column(4), 3)
                 of = group[asked][row]
-                told(m.column(2).to_numpy(zero_copy_only=False)[row], m.column(7).flatten().to_numpy(zero_copy_only=False), m.column(8).flatten().to_numpy(zero_copy_only=False).astype(np.float64), g, looked_up(of * width + g, key, e), count[of], p0[of])
+                told(m.column(2).to_numpy(zero_copy_only=False)[row], place, n.astype(np.float64), g, looked_up(of * width + g, key, e), count[of], p0[of])
 
         for b in batches:
             empty = b.slice(0, 0)
             rows = b.filter(pc.equal(b.column(1), 2))
             if rows.num_rows:
-                yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(np.ones(rows.num_rows, np.int8)), rows.column(7).flatten(), pa.nulls(rows.num_rows, pa.binary()), *rows.columns[9:]], ["at", "kind", "row", "blob", *carry])
+                yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(np.ones(rows.num_rows, np.int8)), pa.array(_numbers(rows.column(4), 1)[1][0]), pa.nulls(rows.num_rows, pa.binary()), *rows.columns[5:]], ["at", "kind", "row", "blob", *carry])
                 b = b.filter(pc.not_equal(b.column(1), 2))
             inner = pc.starts_with(b.column(0), " ")
             for some, work in ((b.filter(inner), by_part), (b.filter(pc.invert(inner)), by_word)):
@@ -770,7 +791,7 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         place = (key % SLICE_ROWS).astype(np.uint16)
         blobs = [_packed([x[lo:hi] for x in (place, *sums)]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
         m = len(slices)
-        return pa.RecordBatch.from_arrays([pa.array(slices), pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(m, f.type) for f in list(b.schema)[9:]]], ["at", "kind", "row", "blob", *carry])
+        return pa.RecordBatch.from_arrays([pa.array(slices), pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(m, f.type) for f in list(b.schema)[5:]]], ["at", "kind", "row", "blob", *carry])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of documents (kind 1) with what the packed rows of their slice, which come first, add up to."""
